@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, line_dedup
+from graphloom.llm import exact_dedup, line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op4_mixing": mixing.query,
+    "op6_quality_rules": quality_rules.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
