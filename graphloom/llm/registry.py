@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, line_dedup, mixing, quality_rules
+from graphloom.llm import exact_dedup, line_dedup, mixing, quality_rules, sentencepiece_wfst
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_wfst.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_mixing": mixing.query,
     "op6_quality_rules": quality_rules.query,
