@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, line_dedup, mixing, quality_rules, sentencepiece_wfst
+from graphloom.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_mixing": mixing.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_chat_format": chat_format.query,
+    "op8_secret_scan": secret_scan.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES = {
