@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst
+from graphloom.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_mixing": mixing.query,
     "op6_quality_rules": quality_rules.query,
