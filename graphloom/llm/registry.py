@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
+from graphloom.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_mixing": mixing.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_quality_rules": quality_rules.query,
     "op7_chat_format": chat_format.query,
     "op8_secret_scan": secret_scan.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
