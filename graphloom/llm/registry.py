@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
+import corpus_pipeline
+from graphloom.llm import chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
@@ -13,7 +14,9 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_chat_format": chat_format.query,
     "op8_secret_scan": secret_scan.query,
+    "op9_license_scan": license_scan.query,
     "op10_line_dedup": line_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
