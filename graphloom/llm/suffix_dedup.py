@@ -1,8 +1,8 @@
 """Suffix-array dedup: remove every byte of a 100-byte string that also starts earlier in the corpus.
 
 The order of suffixes is needed only to depth 100, so bucket-pointer refinement stops there.  A bucket identifier
-is the hash of a bucket's common prefix: identifiers of depth 2q are made from those of depth q at offsets i and
-i + q, again and again (8 bytes, 16, 32, 64, 100), so no global renumbering is needed between levels.
+is the hash of a bucket's common prefix: identifiers of greater depth are made from those of less at offset i and a
+later one, again and again (8 bytes, 16, 32, 48, 96, 100), so no global renumbering is needed between levels.
 
 A suffix array of every position would not fit any shuffle.  Of each window of 100 bytes one start of a q-gram is
 chosen, the one with the least identifier (leftmost of equals): equal windows choose equal q-grams at equal places,
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read, stored
+from graphloom.llm.common import discard, read, stored
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 #: Bytes handled at once; longer texts are cut into overlapping blocks, which only adds classes.
 BLOCK = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,19 +47,19 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """Identifiers of depth 32 for each start."""
+    """Identifiers of depth 48 for each start."""
     x = data.astype(np.uint64)
     x = x[:-1] | (x[1:] << np.uint64(8))
     x = x[:-2] | (x[2:] << np.uint64(16))
     x = x[:-4] | (x[4:] << np.uint64(32))
     x = _mix(x[:-8], x[8:])
-    return _mix(x[:-16], x[16:])
+    return _mix(_mix(x[:-16], x[16:])[:-16], x[32:])
 
 
 def _windows(grams: np.ndarray) -> np.ndarray:
-    """Identifiers of depth 100 from those of depth 32: pointers to offsets 32 and then 36."""
-    x = _mix(grams[:-32], grams[32:])
-    return _mix(x[:-36], x[36:])
+    """Identifiers of depth 100 from those of depth 48: pointers to offsets 48 and then 52."""
+    x = _mix(grams[:-48], grams[48:])
+    return _mix(x[:-4], grams[52:])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -149,34 +149,36 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (document, bytes, [(bucket, lo, width)]): each window of each run with its identifier."""
+    """For (document, bytes, [(bucket, lo, width)]): each window of each run, the first of equal ones in the document.
+
+    ``spot`` is 64 * start + the window's place in its run.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for doc, text, runs in _rows(batches):
         data = np.frombuffer(text, np.uint8)
-        for k in range(0, len(runs), 4096):
-            some = sorted(runs[k : k + 4096], key=lambda r: r["lo"])
-            buckets, lows, starts, deep = [], [], [], []
-            base, end = 0, -1
-            for r in some:
-                lo, width = r["lo"], r["width"]
-                if lo + width + LENGTH > end:
-                    base, end = lo, min(len(data), lo + (1 << 16))
-                    end = max(end, lo + width + LENGTH)
-                    ids = _windows(_grams(data[base:end]))
-                n = width + 1
-                buckets.append(np.full(n, r["bucket"], np.int64))
-                lows.append(np.full(n, lo, np.int32))
-                starts.append(np.arange(lo, lo + n, dtype=np.int32))
-                deep.append(ids[lo - base : lo - base + n])
-            whole = np.concatenate(starts)
-            yield _emit(
-                {
-                    "bucket": np.concatenate(buckets),
-                    "window": np.concatenate(deep).view(np.int64),
-                    "doc": np.full(len(whole), doc, np.int64),
-                    "start": whole,
-                    "lo": np.concatenate(lows),
-                }
-            )
+        runs = sorted(runs, key=lambda r: r["lo"])
+        lo = np.array([r["lo"] for r in runs])
+        n = np.array([r["width"] for r in runs]) + 1
+        bucket = np.repeat(np.array([r["bucket"] for r in runs], np.int64), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(lo, n) + place
+        deep = np.empty(len(start), np.uint64)
+        for base in range(int(start[0]), int(start[-1]) + 1, BLOCK):
+            a, b = np.searchsorted(start, (base, base + BLOCK))
+            if a < b:
+                ids = _windows(_grams(data[start[a] : start[b - 1] + LENGTH]))
+                deep[a:b] = ids[start[a:b] - start[a]]
+        order = np.lexsort((start, deep, bucket))
+        new = np.r_[True, (np.diff(bucket[order]) != 0) | (np.diff(deep[order]) != 0)]
+        keep = order[new]
+        held.append((bucket[keep], deep[keep].view(np.int64), np.full(len(keep), doc, np.int64), start[keep] * 64 + place[keep]))
+        size += len(keep)
+        if size > 1 << 17:
+            yield _emit(dict(zip(("bucket", "window", "doc", "spot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
+            held, size = [], 0
+    if held:
+        yield _emit(dict(zip(("bucket", "window", "doc", "spot"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
 
 
 def removed_mask(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
@@ -209,26 +211,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.collect_list(F.struct("lo", (F.col("lo") + width).alias("hi"))).alias("again"))
     )
     again = stored(again, "suffix-again")
+    discard(places)
     # 4. windows of the first places in buckets that still hold several classes
-    mixed = stored(classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket"), "suffix-mixed")
-    firsts = stored(classes.join(mixed, "bucket").select("bucket", F.col("first_doc").alias("doc"), F.col("first_lo").alias("lo"), width.alias("width")), "suffix-firsts")
+    mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    mixed = stored(mixed, "suffix-mixed")
+    firsts = classes.join(mixed, "bucket").select("bucket", F.col("first_doc").alias("doc"), F.col("first_lo").alias("lo"), width.alias("width"))
+    firsts = stored(firsts, "suffix-firsts")
+    discard(classes)
     of_doc = firsts.groupBy("doc").agg(F.collect_list(F.struct("bucket", "lo", "width")).alias("runs"))
-    windows = (
-        base.join(of_doc, "doc").select("doc", "text", "runs").mapInArrow(_single_windows, "bucket long, window long, doc long, start int, lo int")
+    windows = base.join(of_doc, "doc").select("doc", "text", "runs").mapInArrow(_single_windows, "bucket long, window long, doc long, spot long")
+    originals = windows.groupBy("bucket", "window").agg(F.min("doc").alias("d"), F.min_by("spot", "doc").alias("spot"))
+    one, place = F.lit(1).cast("long"), (F.col("spot") % 64).cast("int")
+    originals = originals.groupBy(F.col("d").alias("doc"), (F.floor(F.col("spot") / 64) - place).cast("int").alias("lo")).agg(
+        F.bit_or(F.call_function("shiftleft", one, place)).alias("bits")
     )
-    originals = windows.groupBy("bucket", "window").agg(F.min(F.struct("doc", "start", "lo")).alias("m"))
-    offset = F.col("m.start") - F.col("m.lo")
-    bit = lambda from_: F.bit_or(F.when((offset >= from_) & (offset < from_ + 32), F.call_function("shiftleft", F.lit(1).cast("long"), offset - from_)).otherwise(F.lit(0).cast("long")))
-    originals = originals.groupBy(F.col("m.doc").alias("doc"), F.col("m.lo").alias("lo")).agg(bit(0).alias("b0"), bit(32).alias("b1"), bit(64).alias("b2"))
     originals = stored(originals, "suffix-originals")
     wide = firsts.join(originals, ["doc", "lo"], "left")
-    none = F.lit(0).cast("long")
-    kept = lambda x: (
-        F.when(x < 32, F.call_function("shiftright", F.coalesce("b0", none), x))
-        .when(x < 64, F.call_function("shiftright", F.coalesce("b1", none), x - 32))
-        .otherwise(F.call_function("shiftright", F.coalesce("b2", none), x - 64))
-        .bitwiseAND(F.lit(1).cast("long"))
-    )
+    kept = lambda x: F.call_function("shiftright", F.coalesce("bits", F.lit(0).cast("long")), x).bitwiseAND(one)
     gone = F.filter(F.sequence(F.lit(0), F.col("width")), lambda x: kept(x) == 0)
     spots = F.transform(gone, lambda x: F.struct((F.col("lo") + x).alias("lo"), (F.col("lo") + x).alias("hi")))
     spots = wide.select("doc", spots.alias("spots")).filter(F.size("spots") > 0).groupBy("doc").agg(F.flatten(F.collect_list("spots")).alias("spots"))
