@@ -172,8 +172,8 @@ def logistic(df: DataFrame, metrics: list[str], label: str = "y") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rows = VectorAssembler(inputCols=metrics, outputCol="x", handleInvalid="skip").transform(df.withColumn(label, F.col(label).cast("double")))
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="x", labelCol=label).fit(rows)
+    rows = VectorAssembler(inputCols=metrics, outputCol="_features", handleInvalid="skip").transform(df.withColumn(label, F.col(label).cast("double")))
+    model = GeneralizedLinearRegression(family="binomial", featuresCol="_features", labelCol=label).fit(rows)
     values = list(zip([*metrics, "intercept"], [*model.coefficients.tolist(), model.intercept], model.summary.coefficientStandardErrors, model.summary.pValues, strict=True))
     return df.sparkSession.createDataFrame([(n, float(c), float(s), float(p)) for n, c, s, p in values], "term string, coefficient double, error double, p double")
 
