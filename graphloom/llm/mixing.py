@@ -141,16 +141,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A cut copy keeps the first words with the white space between them.  Ids are expected to be unique; rows
     without an id are left out, since no id ties them to their rate.
     """
-    if "_text" in docs.columns or "_copy" in docs.columns:
-        raise ValueError("columns _text and _copy are used here")
-    plan = mix(docs, id_col, text_col, **options).filter("copies > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "taken", "copies")
-    plan = plan.select("_id", "_size", F.col("taken").alias("_taken"), F.col("copies").alias("_copies"))
-    joined = docs.join(plan, F.col(id_col) == F.col("_id"))
+    plan = mix(docs, id_col, text_col, **options).filter("copies > 0")
+    plan = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("copies").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(plan, F.col("row")[id_col] == F.col("_id"))
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    words_ = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), words_.cast("int")), "")
-    text = F.when(words_ >= F.col("_size"), F.col(text_col)).otherwise(cut)
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    words_, text = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"), F.col("row")[text_col]
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.when(words_ >= F.col("_size"), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), words_.cast("int")), ""))
+    return joined.select(*[(cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
