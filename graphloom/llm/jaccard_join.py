@@ -3,10 +3,11 @@
 1. Documents with equal shingle sets become one class, whose smallest id stands for it.
 2. A global order of shingles puts frequent ones last.  Any order gives exact results, so the table of frequent
    shingles that is sent to all tasks has a fixed size limit: the most frequent ones fill it.
-3. The classes are partitioned into groups: same least shingle in that order, in blocks of bounded bytes.
+3. The classes are partitioned into groups: same leading shingle (see ordered_prefix), in blocks of bounded bytes.
 4. The token-group matrix is kept by token.  Two linked documents share one of the first n - ceil(t n) + 1 shingles
    of each, so only those columns are needed to find every pair of groups that may hold a link.
-5. For each such pair, and within each group, a document is bounded by its overlap with the union of the other
+   The number of shared columns already bounds the overlap; pairs that it rules out are dropped.
+5. For each pair left, and within each group, a document is bounded by its overlap with the union of the other
    group's shingles; only where that reaches ceil(t n) is the group opened and compared member by member.  A pair of
    groups yields a spanning forest of its links, never all of them.
 6. Components of the links by alternating star contraction; ids and links stay in tables.
@@ -14,29 +15,25 @@
 
 from __future__ import annotations
 
-import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import read, stored
 
 WORDS, SHARE = 5, 75
-#: Frequent shingles: counted where the hash is in the lowest COUNTED parts of 2**64, listed above FREQUENT documents.
-COUNTED, FREQUENT, LISTED = 0.375, 32, 1 << 20
+#: Frequent shingles are those in more than FREQUENT documents; at most LISTED of them. All are counted where the hash is
+#: in the lowest COUNTED parts of 2**64 (where prefixes lie), elsewhere those that repeat among neighbouring documents.
+COUNTED, FREQUENT, LISTED = 0.375, 8, 1 << 20
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> np.ndarray:
-    """Random words for each byte at each of 64 places of a word; the same in every process."""
-    return np.random.Generator(np.random.PCG64(20240101)).integers(0, 1 << 63, (64, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (a >> np.uint64(31))) * _A + b
     x ^= x >> np.uint64(29)
@@ -45,24 +42,31 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Words(dict):
+    """Hashes of words met so far; emptied when it grows too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
+        return h
+
+
+#: Spark gives all its Python workers one fixed hash seed, which makes the built-in hash the same everywhere; were it
+#: not set, words are hashed by a library instead.
+_hash_of = hash if os.environ.get("PYTHONHASHSEED", "random").isdigit() else _Words().__getitem__
+
+
 def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles of UTF-8 bytes, A-Z lower-cased."""
-    b = np.frombuffer(text, np.uint8)
-    word = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
+    """Sorted distinct 64-bit hashes of the five-word shingles of UTF-8 bytes, A-Z lower-cased.
+
+    Byte strings split at just the six ASCII white-space characters and lower-case just A-Z.
+    """
+    words = text.lower().split()
+    n = len(words)
+    if not n:
         return np.empty(0, np.uint64)
-    low = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
-    chars = low[word]
-    size = ends - starts
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    place = np.arange(len(chars)) - np.repeat(first, size)
-    cell = _tables()[place & 63, chars]
-    if size.max() > 64:
-        cell = _mix(cell, (place >> 6).astype(np.uint64))
-    h = _mix(np.add.reduceat(cell, first), size.astype(np.uint64))
-    n = len(h)
+    h = np.fromiter(map(_hash_of, words), np.int64, n).view(np.uint64)
     if n < WORDS:
         out = np.full(1, n, np.uint64)
         for k in range(n):
@@ -71,7 +75,8 @@ def shingles(text: bytes) -> np.ndarray:
     out = h[: n - WORDS + 1]
     for k in range(1, WORDS):
         out = _mix(out, h[k : n - WORDS + 1 + k])
-    return np.unique(_mix(out, np.full(len(out), _C)))
+    out = np.sort(_mix(out, np.full(len(out), _C)))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def needed(n: int) -> int:
@@ -79,14 +84,22 @@ def needed(n: int) -> int:
     return -(-SHARE * n // 100)
 
 
-def ordered_prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - needed(n) + 1 shingles, frequent ones last; among equals by hash."""
+def ordered_prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n - needed(n) + 1 shingles, frequent ones last, among equals by hash; and the shingle to group by.
+
+    That is the first one; or, where frequent ones reach into the prefix, the first of those: documents made of much
+    repeated text then meet their like, whatever few words are their own.
+    """
     keep = len(s) - needed(len(s)) + 1
     if len(frequent):
         at = np.searchsorted(frequent, s)
         common = frequent[np.minimum(at, len(frequent) - 1)] == s
-        s = np.concatenate((s[~common], s[common]))
-    return s[:keep]
+        rare = s[~common]
+        if len(rare) < keep:
+            often = s[common]
+            return np.concatenate((rare, often))[:keep], int(often[:1].view(np.int64)[0])
+        s = rare
+    return s[:keep], int(s[:1].view(np.int64)[0])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -101,18 +114,21 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     limit = np.uint64(int(COUNTED * 2**64))
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = (token < limit) | (n > 1)
+        return pa.RecordBatch.from_arrays([_signed(token[keep]), pa.array(n[keep].astype(np.int64))], names=["token", "n"])
+
     held, size = [], 0
     for (text,) in _rows(batches):
-        s = shingles(text)
-        held.append(s[: np.searchsorted(s, limit)])
+        held.append(shingles(text))
         size += len(held[-1])
-        if size > 1 << 18:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+        if size > 1 << 20:
+            yield counts(held)
             held, size = [], 0
     if size:
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([_signed(token), pa.array(n.astype(np.int64))], names=["token", "n"])
+        yield counts(held)
 
 
 class Matcher:
@@ -186,7 +202,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups in one column of the matrix whose sizes can match; rows come sorted by token, then group."""
+    """(g1, g2, shared): columns of the matrix that two groups share, where sizes can match; rows come sorted by token, group."""
     rest: list[np.ndarray] | None = None
 
     def pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -205,26 +221,49 @@ def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(np.full(len(other), gs[j]))
                 b.append(other)
                 held += len(other)
-                if held > 1 << 16:
-                    yield from distinct(a, b)
+                if held > 1 << 18:
+                    yield counted(a, b)
                     a, b, held = [], [], 0
         if held:
-            yield from distinct(a, b)
+            yield counted(a, b)
 
-    def distinct(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["g1", "g2"])
+    def counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.diff(np.append(at, len(x))))], names=["g1", "g2", "shared"])
 
+    held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            cols = [np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True)]
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size < 1 << 18:
+            continue
+        cols = [np.concatenate(c) for c in zip(*([rest] if rest else []), *held, strict=True)]
+        held, size = [], 0
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         rest = [c[cut:] for c in cols]
         if cut:
             yield from pairs(*(c[:cut] for c in cols))
-    if rest is not None:
-        yield from pairs(*rest)
+    if rest or held:
+        yield from pairs(*(np.concatenate(c) for c in zip(*([rest] if rest else []), *held, strict=True)))
+
+
+def may_link(pairs: DataFrame) -> DataFrame:
+    """Pairs (shared, lo1, hi1, lo2, hi2) of groups that the counting bound leaves.
+
+    Of two linked sets the larger, of size H, shares at most shared + ceil(t H) - 1 shingles with the other: those
+    in both prefixes, and those behind its own prefix or the other's.  Needed are t / (1 + t) of both sizes.
+    """
+    t = SHARE / 100
+
+    def least(hi: str, lo: str):
+        small = F.greatest(F.col(lo).cast("double"), t * F.col(hi))
+        return t / (1 + t) * (F.col(hi) + small) - (t * F.col(hi) + 1) + 1
+
+    return pairs.filter(F.col("shared") + 1e-6 >= F.least(least("hi1", "lo2"), least("hi2", "lo1")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,24 +304,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast(np.sort(np.array(listed, np.int64).view(np.uint64)))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        names = ["doc", "n", "same", "least", "bytes", "prefix"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        out, prefixes, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(prefixes)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), lists], names=names)
 
-        schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("least", pa.int64()), ("bytes", pa.int64())])
-        out = []
         for doc, text in _rows(batches):
             s = shingles(text)
             if len(s):
-                least = int(ordered_prefix(s, frequent.value)[:1].view(np.int64)[0])
+                p, least = ordered_prefix(s, frequent.value)
                 out.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), least, len(text)))
+                prefixes.append(p)
             else:
                 out.append((doc, 0, None, None, len(text)))
-            if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
+                prefixes.append(s)
+            held += len(prefixes[-1])
+            if held > 1 << 18 or len(out) >= 4096:
+                yield flush()
+                out, prefixes, held = [], [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield flush()
 
-    about = stored(base.mapInArrow(described, "doc long, n long, same binary, least long, bytes long"), "shingle-sets")
+    about = base.mapInArrow(described, "doc long, n long, same binary, least long, bytes long, prefix array<long>")
+    about = stored(about, "shingle-sets")
     usable = about.filter("doc is not null and same is not null")
     classes = usable.groupBy("same").agg(F.min(F.struct("doc", "n", "least", "bytes")).alias("c")).select("same", "c.*")
     classes = stored(classes, "shingle-classes")
@@ -292,24 +340,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = stored(blocks.filter("blocks > 1"), "shingle-blocks")
     placed = classes.join(blocks, "least", "left").withColumn("block", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))))
     placed = stored(placed.select("doc", "n", "least", "block"), "shingle-placed")
-    groups = stored(placed.groupBy("least", "block").agg(F.min("doc").alias("group"), F.count(F.lit(1)).alias("size")), "shingle-groups")
+    groups = stored(placed.groupBy("least", "block").agg(F.min("doc").alias("group"), F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi")), "shingle-groups")
     member = stored(placed.join(groups, ["least", "block"]).select("doc", "n", "group", "size"), "shingle-members")
 
-    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                tokens, gs, ns = [], [], []
-                for text, group, n in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
-                    p = ordered_prefix(shingles(text), frequent.value)
-                    tokens.append(p)
-                    gs.append(np.full(len(p), group, np.int64))
-                    ns.append(np.full(len(p), n, np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(gs)), pa.array(np.concatenate(ns))], names=["token", "group", "n"])
-
-    matrix = base.join(member, "doc").select("text", "group", "n").mapInArrow(columns, "token long, group long, n int")
-    pairs = matrix.repartition("token").sortWithinPartitions("token", "group").mapInArrow(_group_pairs, "g1 long, g2 long").distinct()
-    pairs = stored(pairs, "group-pairs")
+    matrix = usable.select("doc", "prefix").join(member, "doc").select(F.explode("prefix").alias("token"), "group", F.col("n").cast("int").alias("n"))
+    pairs = matrix.repartition("token").sortWithinPartitions("token", "group").mapInArrow(_group_pairs, "g1 long, g2 long, shared long")
+    pairs = stored(pairs.groupBy("g1", "g2").agg(F.sum("shared").alias("shared")), "group-pairs")
+    for i in (1, 2):
+        pairs = pairs.join(groups.select(F.col("group").alias(f"g{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")), f"g{i}")
+    pairs = stored(may_link(pairs).select("g1", "g2"), "group-pairs")
     open_ = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
     inside = groups.filter("size > 1").select("group")
     wanted = stored(open_.union(inside).distinct(), "group-wanted")
