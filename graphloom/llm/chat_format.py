@@ -135,3 +135,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(format_conversations(turns))
+
+
+_ESCAPED = r"length({0}) + len(regexp_extract_all({0}, '\\|###|</turn>{1}'))"
+#: The digests straight from the table; a turn takes 14 characters for its marks, an escape one more.
+ORACLE_SQL = rf"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(14 + {_ESCAPED.format("role", "|:")} + {_ESCAPED.format("text", "")})::bigint as formatted_chars
+from t group by conv_id
+"""

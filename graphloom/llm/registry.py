@@ -19,6 +19,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op7_chat_format": chat_format.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
