@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and strings that zstandard primed with a dictionary finds novel.
 
-A candidate is a long run of key characters whose line names something sensitive shortly before it.  Its novelty is
-the number of bytes it adds to the compressed context around it, the compressor being primed with common identifiers
-and code; a string that costs nearly as many bytes as it is long is no word, name or repeat, and is reported.  The
-scan is one pass over each text, without a shuffle.
+A candidate is a long run of key characters whose line names something sensitive shortly before it, that follows such
+a run after a dot, or that lies in a block from a sensitive BEGIN line to its END line.  Its novelty is the number of
+bytes it adds to the compressed context around it, the compressor being primed with common identifiers and code; a
+string that costs nearly as many bytes as it is long, or as random characters of its alphabet must, is no word, name
+or repeat, and is reported.  The scan is one pass over each text, without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile(r"(?i)(auth|bearer|credential|passphrase|passwd|password|private|secret|signature|token|api[_-]?key|\bkey\b|\bpwd\b)[^\n]{0,40}$", re.A)
+#: A block that names something sensitive; without an END line it goes on while lines hold nothing but key characters.
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----")
+_BODY = re.compile(r"(?:[\x20\t>|\"']*+(?:[A-Za-z][A-Za-z-]*:[^\n]*|[A-Za-z0-9+/_=-]*)[\x20\t\"',;\\]*\r?(?:\n|\Z))+")
 _MAYBE = ("auth", "bearer", "credential", "passphrase", "passw", "private", "secret", "signature", "token", "api", "key", "pwd")
 #: What source code and settings are full of.
 IDENTIFIERS = (
@@ -57,6 +62,41 @@ def novelty(candidate: str, before: str, after: str, dictionary: str = IDENTIFIE
     return (len(c.compress(rest + candidate.encode())) - len(c.compress(rest))) / len(candidate.encode())
 
 
+def alphabet(word: str) -> int:
+    """Size of the least usual alphabet that has all characters of the word."""
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+        return 16
+    size = sum(n for c, n in (("[0-9]", 10), ("[a-z]", 26), ("[A-Z]", 26)) if re.search(c, word))
+    return size + len(set(re.findall("[^0-9A-Za-z]", word)))
+
+
+def is_novel(word: str, score: float, threshold: float, inside: bool = False) -> bool:
+    """Whether ``score`` bytes a byte are those of a random word.
+
+    Literals of a long word, or of one among its like, are coded at close to its alphabet's entropy, however random it
+    is, and those of a short one by its neighbours' letters.  So a word is also novel if it costs that entropy, less a
+    tenth; names can cost as much, so it must hold half the digits of a random word as well, but ``inside`` a block.
+    """
+    size = alphabet(word)
+    digits = inside or 2 * size * len(re.findall("[0-9]", word)) >= 10 * len(word)
+    return score >= threshold or digits and score * 8 >= 0.9 * math.log2(size)
+
+
+def sensitive_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between a sensitive BEGIN line, but a public key's, and its END line."""
+    out = []
+    begins = list(_BEGIN.finditer(text))
+    for m, after in zip(begins, [*(x.start() for x in begins), len(text)][1:], strict=True):
+        if "PUBLIC" in m[1] or not _SENSITIVE.search(m[1]):
+            continue
+        s, end = m.end(), text.find(f"-----END {m[1]}-----", m.end(), after)
+        if end < 0:
+            line = text.find("\n", s) + 1
+            end = (body.end() if line and (body := _BODY.match(text, line)) else s)
+        out.append((s, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns, by start, then kind."""
     out = []
@@ -70,22 +110,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float, window: int, dictionary: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
-    """Candidates apart from ``taken`` that stand in a sensitive context and are incompressible there."""
+    """Candidates apart from ``taken`` that stand in a sensitive context and are incompressible there.
+
+    The context of a candidate is also that of those after it, each parted from the one before by a single dot.
+    """
     low = text.lower()
     if not any(n in low for n in _MAYBE):
         return []
-    out, k = [], 0
+    out, k, b, linked = [], 0, 0, -1
     ends = sorted((s, e) for s, _, e in taken)
+    blocks = sensitive_blocks(text)
     for m in _CANDIDATE.finditer(text):
         s, e = m.span()
+        while b < len(blocks) and blocks[b][1] <= s:
+            b += 1
+        inside = b < len(blocks) and blocks[b][0] <= s
+        near = inside or linked == s - 1 and text[linked] == "." or bool(_SENSITIVE.search(text[max(0, s - 60) : s]))
+        if near:
+            linked = e
         while k < len(ends) and ends[k][1] <= s:
             k += 1
-        if any(a < e and s < b for a, b in ends[k : k + 4]):
+        if any(x < e and s < y for x, y in ends[k : k + 4]):
             continue
         word = m[0]
-        if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or not _SENSITIVE.search(text[max(0, s - 60) : s]):
+        if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or not near:
             continue
-        if novelty(word, text[max(0, s - window) : s], text[e : e + window], dictionary) >= threshold:
+        if is_novel(word, novelty(word, text[max(0, s - window) : s], text[e : e + window], dictionary), threshold, inside):
             out.append((s, 3, e))
     return out
 
