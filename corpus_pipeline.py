@@ -16,29 +16,32 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the lines that fail a rule go from the others."""
+    """Rejected documents go; the lines that fail a rule go from the others.  Ids play no part."""
     kept = quality_rules.quality(docs).filter("quality.kept")
     return _documents(kept.withColumn("text", F.col("quality.clean_text")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that other documents hold go, except where they stand first."""
-    lines = line_dedup.dedup_lines(docs).select("doc_id", F.col("kept_text").alias("text"))
-    return _documents(docs.drop("text").join(lines, "doc_id"))
+    """Lines that other documents hold go, except where they stand first.
+
+    One row for each row, with its own columns; a row without an id keeps its lines, rows that repeat an id are alike.
+    """
+    lines = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    return _documents(lines.withColumnRenamed("kept_text", "text"))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
+    """One row of each component of near copies stays, that of the smallest id; rows may have none or repeat one."""
     return _documents(jaccard_join.one_of_each(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated to meet the source targets."""
+    """Rows are left out or repeated to meet the source targets, each by its own rate, whatever its id."""
     return _documents(mixing.mixed_documents(docs))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix as piece ids."""
+    """Every row of the mix as piece ids.  Ids play no part."""
     return sentencepiece_wfst.encode(docs)
 
 

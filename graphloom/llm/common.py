@@ -66,6 +66,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """Store (key, row): each row of ``docs`` as a struct and a number of its own, which tells rows apart whatever their ids."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return stored(docs.select(F.monotonically_increasing_id().alias("key"), row), name)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing will read it again."""
     jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read, stored
+from graphloom.llm.common import keyed, read, stored
 
 WORDS, SHARE = 5, 75
 #: Frequent shingles are those in more than FREQUENT documents; at most LISTED of them. All are counted where the hash is
@@ -369,9 +369,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their component (smallest id), with all their columns; ids unique."""
-    found = jaccard_components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(found, id_col, "left_semi")
+    """One row of each component, with all its columns: the one of the smallest id.
+
+    Every row is a vertex of its own.  A row without an id stays only where no row of its component has one; of rows
+    that share the smallest id, or have none, the first in the table stays.
+    """
+    rows = keyed(docs, "join-rows")
+    found = jaccard_components(rows.select("key", F.col("row")[text_col].alias("text")), "key", "text")
+    ids = rows.select("key", F.col("row")[id_col].alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    kept = found.join(ids, "key").groupBy("component_id").agg(first).select("first.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,17 +21,17 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Add ``n_lines``, ``n_dropped`` and ``kept_text`` to (id, text) of every document.
 
     A line whose key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more stays
     only in the document with the smallest id, there with all its repeats.  A null or empty text is one empty
     line.  A document without an id is counted but returned unchanged, since no id says who comes first.  Rows
     that repeat an id count as further documents and are treated alike.  An empty table gives an empty result;
-    other columns are not returned.
+    of the other columns those in ``carry`` are returned, each row with its own.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    split = base.select("_id", F.md5("_t").alias("_d"), F.split("_t", "\n").alias("_lines"))
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []))
+    split = base.select("_id", F.md5("_t").alias("_d"), F.split("_t", "\n").alias("_lines"), *(["_row"] if carry else []))
     keyed = (
         split.select("_id", "_d", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_d", "_pos", line_key(F.col("_line")).alias("_key"))
@@ -59,12 +59,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = split.join(drops, ["_id", "_d"], "left")
     at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(at, lambda p: F.get("_lines", p)))
-    kept = joined.select("_id", F.size("_lines").alias("_n"), kept.alias("_kept"))
+    kept = joined.select("_id", F.size("_lines").alias("_n"), kept.alias("_kept"), *(["_row"] if carry else []))
     return kept.select(
         F.col("_id").alias(id_col),
         F.col("_n").cast("long").alias("n_lines"),
         (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"),
         F.array_join("_kept", "\n").alias("kept_text"),
+        *[F.col("_row")[c].alias(c) for c in carry],
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import read, stored, words
+from graphloom.llm.common import keyed, read, stored, words
 
 #: Rates are multiples of one millionth.
 UNIT = 1_000_000
@@ -85,6 +85,7 @@ def mix(
     block_docs: int = 2000,
     steps: int = 60,
     tolerance: float = 1e-5,
+    key_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, rate, copies.
 
@@ -92,10 +93,13 @@ def mix(
     input.  A source's target stops at ``cap`` times its size and the excess goes to the others by weight.
     ``copies`` are the whole and begun copies taken; only the last one may be cut, to ``taken - (copies - 1) *
     size`` words.  Null and empty texts have size 0 and are never taken.  A row without an id, or repeating
-    one, is a document of its own.  An empty table gives an empty result; other columns are not returned.
+    one, is a document of its own.  An empty table gives an empty result; other columns are not returned, but for
+    ``key_col``, a number that is unique to the row; with it rows without an id are spread over the blocks.
     """
+    key = ["key"] if key_col else []
+    named = F.when(F.col("doc_id").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64("doc_id")) if key_col else F.xxhash64("doc_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
     sized = stored(sized, "mixing-sizes")
     cells = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
     sources = cells.groupBy("source").agg(
@@ -112,11 +116,12 @@ def mix(
     rated = sized.join(solved, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "size", "source_no", "source_size", "target",
         F.when(F.col("size") > 0, _rate(F.col("lam"), F.col("size").cast("double"), F.col("mean"), float(cap))).otherwise(0).alias("rate"),
-        F.xxhash64("doc_id").alias("h"),
-        F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / block_docs)).alias("block"),
+        named.alias("h"),
+        F.pmod(named, F.ceil(F.col("n_docs") / block_docs)).alias("block"),
+        *key,
     )
     block = Window.partitionBy("source_no", "block")
-    line = block.orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = block.orderBy("size", "h", "doc_id", *key).rowsBetween(Window.unboundedPreceding, 0)
     part, half = F.col("rate") % UNIT, UNIT // 2
     ends = rated.withColumn("cum", F.sum(part).over(line))
     step = F.floor((F.col("cum") + half) / UNIT) - F.floor((F.col("cum") - part + half) / UNIT)
@@ -125,26 +130,29 @@ def mix(
     due = F.round(F.sum(F.col("rate").cast("decimal(20,0)") * F.col("size")).over(block) / UNIT).cast("long")
     left = copied.withColumn("due", due - F.sum("words").over(block))
     room = F.when(F.col("due") > 0, cap * F.col("size") - F.col("words")).otherwise(F.col("words"))
-    by_room = block.orderBy(F.col("room").desc(), "size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    by_room = block.orderBy(F.col("room").desc(), "size", "h", "doc_id", *key).rowsBetween(Window.unboundedPreceding, -1)
     left = left.withColumn("room", room).withColumn("used", F.coalesce(F.sum("room").over(by_room), F.lit(0)))
     move = F.greatest(F.lit(0), F.least(F.col("room"), F.abs("due") - F.col("used"))) * F.signum(F.col("due").cast("double")).cast("long")
     taken = (F.col("words") + move).cast("long")
     return left.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), (F.col("rate") / UNIT).alias("rate"),
         F.when(F.col("size") > 0, F.ceil(taken / F.col("size"))).otherwise(0).cast("long").alias("copies"),
+        *([F.col("key").alias(key_col)] if key_col else []),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: every document of ``docs`` repeated by its copies, all columns kept, the last copy cut.
 
-    A cut copy keeps the first words with the white space between them.  Ids are expected to be unique; rows
-    without an id are left out, since no id ties them to their rate.
+    A cut copy keeps the first words with the white space between them.  Each row meets its own
+    rate, also where it has no id or repeats one.
     """
-    plan = mix(docs, id_col, text_col, **options).filter("copies > 0")
-    plan = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("copies").alias("_copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(plan, F.col("row")[id_col] == F.col("_id"))
+    rows = keyed(docs, "mixing-rows")
+    source_col = options.pop("source_col", "source")
+    flat = rows.select("key", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"))
+    plan = mix(flat, "id", "text", "source", key_col="key", **options).filter("copies > 0")
+    plan = plan.select("key", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("copies").alias("_copies"))
+    joined = rows.join(plan, "key")
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     words_, text = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"), F.col("row")[text_col]
     pieces = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))

@@ -341,6 +341,33 @@ def test_null_and_repeated_ids_give_a_row_each(spark, run):
     assert run(df).count() == 5
 
 
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    own, twin = [words(60, 300 + k) for k in range(8)], words(80, 7)
+    line = "a line that many documents hold"
+    ids = [None, None, 1, 1, 2, None, 3, 3]
+    rows = [(i, f"{t}\n{line}", f"l{k}", "ab"[k % 2], 0) for k, (i, t) in enumerate(zip(ids, own))]
+    rows += [(4, twin, "x", "a", 0), (4, twin, "y", "a", 0), (None, near(twin, 1), "z", "a", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.lang for r in corpus_pipeline.quality_stage(spark, d, "").collect()) == sorted(r[2] for r in rows)
+    got = {r.lang: (r.doc_id, r.text, r.source, r.n_chars) for r in corpus_pipeline.line_stage(spark, d, "").collect()}
+    want = {lang: (i, t if i in (None, 1, 4) else t.replace("\n" + line, ""), s) for i, t, lang, s, _ in rows}
+    assert got == {k: (*v, len(v[1])) for k, v in want.items()} and corpus_pipeline.line_stage(spark, d, "").count() == len(rows)
+    # near copies without an id or sharing one leave a single row; all else stays
+    kept = corpus_pipeline.join_stage(spark, d, "").collect()
+    assert sorted(r.lang for r in kept) == [f"l{k}" for k in range(8)] + ["x"]
+    none = corpus_pipeline.join_stage(spark, d.withColumn("doc_id", F.lit(None).cast("long")), "")
+    assert none.count() == 9
+    mixed = {}
+    for r in corpus_pipeline.mixing_stage(spark, d, "").collect():
+        mixed[r.lang] = mixed.get(r.lang, 0) + len(r.text.split())
+    plan = mixing.mix(d.withColumn("key", F.monotonically_increasing_id()), key_col="key")
+    total = {s: sum(v for k, v in mixed.items() if dict((x[2], x[3]) for x in rows)[k] == s) for s in "ab"}
+    size = {s: sum(len(x[1].split()) for x in rows if x[3] == s) for s in "ab"}
+    target = {s: r for s, r in ((s, next(p.target for p in plan.collect() if p.source_size == size[s])) for s in "ab")}
+    assert all(abs(total[s] - target[s]) <= 5 for s in "ab")
+    assert all(v <= 3 * len(next(x[1] for x in rows if x[2] == k).split()) for k, v in mixed.items())
+
+
 def test_pipeline_stages(spark):
     texts = [t for t in corpus()[:-len(ODD)]] + [" | ".join(words(40, 3).split()), "a b c"]
     d = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
