@@ -33,7 +33,6 @@ LENGTH, GRAM = 100, 48
 #: Bytes handled at once; longer texts are cut into overlapping blocks, which only adds classes.
 BLOCK = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-NO_ID = (1 << 63) - 1
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,10 +190,29 @@ def removed_mask(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, runs): for each document with repeats, the runs [first start, last start] of repeated windows."""
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    base = base.filter(F.length("text") >= LENGTH)
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text): ``doc`` differs in all rows and rises with the id, null last, then with the place in the table.
+
+    It is the id itself where no row lacks or repeats one, which a count of the ids tells.
+    """
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    if base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").isEmpty():
+        return base.select(F.col("id").alias("doc"), "id", "text")
+    rows = stored(base.withColumn("row", F.monotonically_increasing_id()), "suffix-rows")
+    order = rows.select("id", "row").orderBy(F.col("id").asc_nulls_last(), "row")
+    order = stored(order.select("row", F.monotonically_increasing_id().alias("doc")), "suffix-order")
+    numbered = stored(rows.join(order, "row").select("doc", "id", "text"), "suffix-numbered")
+    discard(rows)
+    discard(order)
+    return numbered
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """(doc, runs) of (doc, text): for each document with repeats, the runs [first start, last start] of repeated windows.
+
+    ``doc`` is unique, and its order is that of the documents.
+    """
+    base = base.select("doc", "text").filter(F.length("text") >= LENGTH)
     buckets = base.select("text").mapInArrow(_initial, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     buckets = stored(buckets.filter("n > 1").select("bucket"), "suffix-buckets")
     places = base.mapInArrow(_places, "bucket long, run long, shape int, doc long, lo int").join(buckets, "bucket")
@@ -242,12 +260,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each whole text is taken as UTF-8 bytes, null as empty.  A byte goes if a 100-byte string over it also
     starts earlier: in a document with a smaller id, or earlier in the same one; matches never cross documents
     and are judged on the input.  ``n_spans`` counts maximal removed runs.  ``kept`` may end inside a
-    character.  A row without an id comes last in the order.  Rows that repeat an id count as one document: the
-    same text is not compared with itself, and the repeats of different texts are pooled.  An empty table gives
-    an empty result; other columns are not returned.
+    character.  Each row is a document of its own: rows without an id come last in the order, and they,
+    like rows that repeat an id, come one after the other as they stand in the table.  An empty table gives an
+    empty result; other columns are not returned.  One action counts the ids.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    joined = base.join(repeated_runs(docs, id_col, text_col), "doc", "left").select("id", "text", "runs")
+    base = _numbered(docs, id_col, text_col)
+    joined = base.join(repeated_runs(base), "doc", "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0

@@ -88,6 +88,18 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == brute_repeats(texts)
 
 
+def test_suffix_dedup_of_null_and_repeated_ids_equals_brute_force(spark):
+    long, other = words(1200, 1), words(300, 2)
+    mixed = near(" ".join(long.split()[200:1000]), 3)
+    texts = [long, mixed, words(30, 5), other + " " + words(30, 6), words(35, 5), near(other, 4), other, other, words(50, 5), long[500:900] + "é", None]
+    ids = [5, None, None, 2, 2, 9, 2, 2, None, None, None]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, k))
+    want = brute_repeats([texts[k] for k in order])
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=repr) == sorted(((ids[k], *want[i]) for i, k in enumerate(order)), key=repr)
+
+
 def test_suffix_blocks_do_not_change_results(spark, monkeypatch):
     rows = [(0, words(400, 1).encode()), (1, words(400, 1).encode()[50:])]
     whole = [x for b in suffix_dedup._blocks(iter(rows)) for x in b[3].tolist()]
