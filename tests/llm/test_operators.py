@@ -100,11 +100,21 @@ def test_suffix_dedup_of_null_and_repeated_ids_equals_brute_force(spark):
     assert sorted(got, key=repr) == sorted(((ids[k], *want[i]) for i, k in enumerate(order)), key=repr)
 
 
-def test_suffix_blocks_do_not_change_results(spark, monkeypatch):
-    rows = [(0, words(400, 1).encode()), (1, words(400, 1).encode()[50:])]
-    whole = [x for b in suffix_dedup._blocks(iter(rows)) for x in b[3].tolist()]
+def test_suffix_blocks_do_not_change_results(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([words(400, 1).encode(), words(400, 1).encode()[50:]], pa.binary())
+    whole = [x for b in suffix_dedup._blocks(texts) for x in b[3].tolist()]
     monkeypatch.setattr(suffix_dedup, "BLOCK", 256)
-    assert whole == [0, 0] and len([x for b in suffix_dedup._blocks(iter(rows)) for x in b[3].tolist()]) > 10
+    assert whole == [0, 0] and len([x for b in suffix_dedup._blocks(texts) for x in b[3].tolist()]) > 10
+
+
+def test_suffix_dedup_of_long_texts_and_string_ids_equals_brute_force(spark):
+    long = words(40_000, 21, 100_000)
+    texts = [long, long[150_000:] + " " + words(300, 22), words(50, 23) + long[70_001:70_140] + words(50, 24), "x" * 99, "x" * 100, "x" * 400]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f"d{i}": v for i, v in brute_repeats(texts).items()}
 
 
 # --- 3
