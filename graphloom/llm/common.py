@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The six ASCII white-space characters that separate words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,9 +38,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where a local session names none, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -77,3 +80,16 @@ def discard(table: DataFrame) -> None:
     jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(table._stored_at)
     where.getFileSystem(conf).delete(where, True)
+
+
+def numbered_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with its first column ``id`` as whole numbers called ``doc``, and (doc, id) to turn them back; None if ids were numbers.
+
+    Numbers rise with the ids; a null stays null.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "id"]
+    if isinstance(docs.schema["id"].dataType, IntegralType):
+        return docs.select(F.col("id").cast("long").alias("doc"), *rest), None
+    ids = docs.select("id").filter("id is not null").distinct().orderBy("id")
+    names = stored(ids.select("id", F.monotonically_increasing_id().alias("doc")), "id-numbers")
+    return stored(docs.join(names, "id", "left").select("doc", *rest), "numbered"), names

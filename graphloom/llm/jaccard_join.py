@@ -1,16 +1,22 @@
-"""N-gram Jaccard join by a token-group matrix: exact links at similarity t = 0.75 on five-word shingles.
+"""N-gram Jaccard join by a token-group matrix: links at similarity t = 0.75 on five-word shingles.
 
 1. Documents with equal shingle sets become one class, whose smallest id stands for it.
-2. A global order of shingles puts frequent ones last.  Any order gives exact results, so the table of frequent
-   shingles that is sent to all tasks has a fixed size limit: the most frequent ones fill it.
-3. The classes are partitioned into groups: same leading shingle (see ordered_prefix), in blocks of bounded bytes.
-4. The token-group matrix is kept by token.  Two linked documents share one of the first n - ceil(t n) + 1 shingles
-   of each, so only those columns are needed to find every pair of groups that may hold a link.
-   The number of shared columns already bounds the overlap; pairs that it rules out are dropped.
-5. For each pair left, and within each group, a document is bounded by its overlap with the union of the other
-   group's shingles; only where that reaches ceil(t n) is the group opened and compared member by member.  A pair of
-   groups yields a spanning forest of its links, never all of them.
+2. A global order of shingles puts frequent ones last.  Any order gives the same results, so the table of frequent
+   shingles that is sent to all tasks has a fixed size limit: the most frequent ones fill it.  Two linked documents share
+   one of the first n - ceil(t n) + 1 shingles of each, so only those are kept as tokens, and of those only the ones that
+   two documents have.
+3. Similar documents are partitioned into groups.  Classes with the same leading shingle (see ordered_prefix) are compared
+   with the first of them, their pivot: m near copies cost m comparisons.  Those that link are one component, in groups of
+   bounded bytes; the others of the same leading shingle share groups, too.  Pivots are then joined with one another as in
+   4 and 5, so that copies with different leading shingles fall into one component as well.
+4. The token-group matrix stores the union of each group's tokens.  A document is a query to the groups of other
+   components: the number of its tokens in a group's union bounds its overlap with every member, and a group that cannot
+   reach the overlap a link needs stays closed.
+5. A query's text goes to the groups that qualify, where it is compared member by member.  Queries of a group are dealt to
+   as many tasks as they need; a task emits a spanning forest of its links, never all of them.
 6. Components of the links by alternating star contraction; ids and links stay in tables.
+
+Shingles are 64-bit hashes: two texts count as sharing a shingle if its hashes agree.
 """
 
 from __future__ import annotations
@@ -24,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import keyed, read, stored
+from graphloom.llm.common import discard, keyed, numbered_ids, read, stored
 
 WORDS, SHARE = 5, 75
 #: Frequent shingles are those in more than FREQUENT documents; at most LISTED of them. All are counted where the hash is
 #: in the lowest COUNTED parts of 2**64 (where prefixes lie), elsewhere those that repeat among neighbouring documents.
 COUNTED, FREQUENT, LISTED = 0.375, 8, 1 << 20
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
+#: Queries of one group that one task answers.
+QUERIES = 2048
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -159,9 +167,16 @@ class Matcher:
         return np.flatnonzero(100 * common >= SHARE * (len(s) + self.sizes - common))
 
 
-def spanning_links(left: Matcher, right: Matcher) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two groups, or within one if both are the same."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (group, part, role, own, doc, text) in that order: the members of a group, then its queries.
+
+    Members link among themselves if ``own`` says so.  Only links that join two trees of a part's forest are put out.
+    """
+    at: tuple[int, int] | None = None
+    members: list[dict] = []
+    matcher: Matcher | None = None
     root: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
         while root.get(x, x) != x:
@@ -169,101 +184,80 @@ def spanning_links(left: Matcher, right: Matcher) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    out = []
-    for doc, s in zip(left.docs, left.sets, strict=True):
-        for k in right.linked(s):
-            other = right.docs[k]
-            a, b = find(doc), find(other)
+    def ask(doc: int, s: np.ndarray) -> None:
+        for k in matcher.linked(s) if len(s) else ():
+            a, b = find(doc), find(matcher.docs[k])
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((doc, other))
-    return out
+                out.append((doc, matcher.docs[k]))
+
+    def close() -> None:
+        nonlocal matcher
+        if members and matcher is None:
+            matcher = Matcher(members)
+            if members[0]["own"]:
+                for doc, s in zip(matcher.docs, matcher.sets, strict=True):
+                    ask(doc, s)
+
+    def flush() -> pa.RecordBatch:
+        a, b = zip(*out, strict=True)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for group, part, role, own, doc, text in _rows(batches):
+        if (group, part) != at:
+            close()
+            at, members, matcher = (group, part), [], None
+            root.clear()
+        if role == 0:
+            members.append({"doc": doc, "text": text, "own": own})
+            continue
+        close()
+        ask(doc, shingles(text))
+        if len(out) >= 1 << 14:
+            yield flush()
+    close()
+    if out:
+        yield flush()
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, members, group, members) to links; the matchers of the last few groups are kept."""
-    kept: dict[int, Matcher] = {}
+def links_of(base: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Links (a, b) between ``queries`` (group, doc) and the ``members`` (group, doc, own) of their groups.
 
-    def matcher(group: int, members: list[dict]) -> Matcher:
-        if group not in kept:
-            if len(kept) >= 8:
-                del kept[next(iter(kept))]
-            kept[group] = Matcher(members)
-        return kept[group]
+    Members of groups with ``own`` are compared among themselves, too; groups with neither are not opened.
+    """
+    parts = queries.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    inside = members.join(parts, "group", "left").filter("own or parts is not null")
+    inside = inside.select("group", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("role"), "own", "doc")
+    inside = inside.withColumn("own", F.col("own") & (F.col("part") == 0))
+    asked = queries.join(parts, "group").select("group", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.lit(False).alias("own"), "doc")
+    rows = inside.unionByName(asked).join(base.select("doc", "text"), "doc").select("group", "part", "role", "own", "doc", "text")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "role").mapInArrow(_opened, "a long, b long")
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            g1, m1, g2, m2 = (c[0].as_py() for c in batch.slice(k, 1).columns)
-            left = matcher(g1, m1)
-            out = spanning_links(left, left if g1 == g2 else matcher(g2, m2))
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g1, g2, shared): columns of the matrix that two groups share, where sizes can match; rows come sorted by token, group."""
-    rest: list[np.ndarray] | None = None
-
-    def pairs(token: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.diff(token)) + 1
-        starts, ends = np.concatenate(([0], edge)), np.append(edge, len(token))
-        many = np.flatnonzero(ends - starts > 1)
-        a, b, held = [], [], 0
-        for i in many:
-            gs, first = np.unique(group[starts[i] : ends[i]], return_index=True)
-            if len(gs) < 2:
-                continue
-            lows, highs = np.minimum.reduceat(n[starts[i] : ends[i]], first), np.maximum.reduceat(n[starts[i] : ends[i]], first)
-            for j in range(len(gs) - 1):
-                fit = (100 * highs[j + 1 :] >= SHARE * lows[j]) & (100 * highs[j] >= SHARE * lows[j + 1 :])
-                other = gs[j + 1 :][fit]
-                a.append(np.full(len(other), gs[j]))
-                b.append(other)
-                held += len(other)
-                if held > 1 << 18:
-                    yield counted(a, b)
-                    a, b, held = [], [], 0
-        if held:
-            yield counted(a, b)
-
-    def counted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        at = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.diff(np.append(at, len(x))))], names=["g1", "g2", "shared"])
-
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        size += batch.num_rows
-        if size < 1 << 18:
-            continue
-        cols = [np.concatenate(c) for c in zip(*([rest] if rest else []), *held, strict=True)]
-        held, size = [], 0
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield from pairs(*(c[:cut] for c in cols))
-    if rest or held:
-        yield from pairs(*(np.concatenate(c) for c in zip(*([rest] if rest else []), *held, strict=True)))
 
+def candidates(cells: DataFrame, placed: DataFrame) -> DataFrame:
+    """(group, doc): which documents to ask of which group, by the overlap of their tokens with the group's stored union.
 
-def may_link(pairs: DataFrame) -> DataFrame:
-    """Pairs (shared, lo1, hi1, lo2, hi2) of groups that the counting bound leaves.
+    ``cells`` are (token, doc, n), ``placed`` (doc, group, component).  Groups of a document's own component are left out,
+    and of two groups only the documents of the one with the greater number are asked.
 
-    Of two linked sets the larger, of size H, shares at most shared + ceil(t H) - 1 shingles with the other: those
-    in both prefixes, and those behind its own prefix or the other's.  Needed are t / (1 + t) of both sizes.
+    Of two linked sets the larger, of size H, shares at most shared + ceil(t H) - 1 shingles with the other: those among
+    the tokens of both, and those behind the tokens of the one whose tokens end first.  Needed are t / (1 + t) of both sizes.
     """
-    t = SHARE / 100
-
-    def least(hi: str, lo: str):
-        small = F.greatest(F.col(lo).cast("double"), t * F.col(hi))
-        return t / (1 + t) * (F.col(hi) + small) - (t * F.col(hi) + 1) + 1
-
-    return pairs.filter(F.col("shared") + 1e-6 >= F.least(least("hi1", "lo2"), least("hi2", "lo1")))
+    at = cells.join(placed, "doc")
+    unions = stored(at.groupBy("token", "group", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "token-groups")
+    several = unions.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+    matrix = stored(unions.join(several, "token", "left_semi"), "token-groups")
+    discard(unions)
+    held = matrix.select("token", F.col("group").alias("asked"), F.col("component").alias("other"), "lo", "hi")
+    fit = (F.col("asked") < F.col("group")) & (F.col("other") != F.col("component")) & (100 * F.col("hi") >= SHARE * F.col("n")) & (100 * F.col("n") >= SHARE * F.col("lo"))
+    pairs = at.join(held, "token").filter(fit).groupBy("doc", "asked", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    t, n = SHARE / 100, F.col("n").cast("double")
+    as_larger = F.when(F.col("lo") <= F.col("n"), t / (1 + t) * (n + F.greatest(F.col("lo").cast("double"), t * n)) - t * n)
+    as_smaller = F.when(F.col("hi") >= F.col("n"), t / (1 + t) * n + (t / (1 + t) - t) * F.least(F.col("hi").cast("double"), n / t))
+    found = stored(pairs.filter(F.col("shared") + 1e-6 >= F.least(as_larger, as_smaller)).select(F.col("asked").alias("group"), "doc"), "group-queries")
+    discard(matrix)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,9 +270,13 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
         large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = stored(large, "links-large")
+        discard(least)
+        discard(links)
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "links-least")
         links = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         links = stored(links.select("e.a", "e.b").filter("a != b").distinct(), "links")
+        discard(large)
+        discard(least)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
@@ -287,17 +285,36 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _grouped(classes: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, group, component) of each class, and (group, doc, own) as ``links_of`` takes it; ``linked`` is (doc, component).
+
+    Linked classes share groups by component, the others by their leading shingle; groups hold bounded bytes.
+    """
+    known = classes.join(linked, "doc", "left")
+    key = [F.col("component").isNotNull().alias("known"), F.coalesce("component", "least").alias("key")]
+    known = known.select("doc", "bytes", "component", *key)
+    blocks = known.groupBy("known", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).alias("block")
+    placed = known.join(blocks.filter("blocks > 1"), ["known", "key"], "left").select("doc", "component", "known", "key", block)
+    groups = placed.groupBy("known", "key", "block").agg(F.min("doc").alias("group"), F.count(F.lit(1)).alias("size"))
+    placed = placed.join(groups, ["known", "key", "block"])
+    own = (~F.col("known") & (F.col("size") > 1)).alias("own")
+    placed = stored(placed.select("doc", "group", F.coalesce("component", "group").alias("component"), own), "shingle-groups")
+    return placed.select("doc", "group", "component"), placed.select("group", "doc", "own")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, ``n_shingles``, ``component_id``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than five words is one shingle,
     a null, empty or blank text has none and links with nothing.  Two documents link when 100 times the shared
-    shingles reach 75 times all of theirs; ``component_id`` is the smallest id that links reach.  A row without
-    an id keeps a null component and links with nothing.  Rows that repeat an id are one vertex, reached by the
-    links of each.  An empty table gives an empty result; other columns are not returned.
+    shingles reach 75 times all of theirs; ``component_id`` is the smallest id that links reach.  Ids may be of
+    any type that sorts.  A row without an id keeps a null component and links with nothing.  Rows that repeat an
+    id are one vertex, reached by the links of each.  An empty table gives an empty result; other columns are not
+    returned.  Runs jobs when called.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    base, names = numbered_ids(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")))
     counts = base.select("text").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = stored(counts.filter(F.col("n") > FREQUENT), "shingle-counts")
     listed = [r[0] for r in counts.orderBy(F.col("n").desc(), "token").limit(LISTED).select("token").toLocalIterator()]
@@ -332,40 +349,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     about = base.mapInArrow(described, "doc long, n long, same binary, least long, bytes long, prefix array<long>")
     about = stored(about, "shingle-sets")
     usable = about.filter("doc is not null and same is not null")
-    classes = usable.groupBy("same").agg(F.min(F.struct("doc", "n", "least", "bytes")).alias("c")).select("same", "c.*")
+    classes = usable.groupBy("same").agg(F.min("doc").alias("doc"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.min_by("bytes", "doc").alias("bytes"))
     classes = stored(classes, "shingle-classes")
-    blocks = classes.groupBy("least").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")
-    )
-    blocks = stored(blocks.filter("blocks > 1"), "shingle-blocks")
-    placed = classes.join(blocks, "least", "left").withColumn("block", F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))))
-    placed = stored(placed.select("doc", "n", "least", "block"), "shingle-placed")
-    groups = stored(placed.groupBy("least", "block").agg(F.min("doc").alias("group"), F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi")), "shingle-groups")
-    member = stored(placed.join(groups, ["least", "block"]).select("doc", "n", "group", "size"), "shingle-members")
-
-    matrix = usable.select("doc", "prefix").join(member, "doc").select(F.explode("prefix").alias("token"), "group", F.col("n").cast("int").alias("n"))
-    pairs = matrix.repartition("token").sortWithinPartitions("token", "group").mapInArrow(_group_pairs, "g1 long, g2 long, shared long")
-    pairs = stored(pairs.groupBy("g1", "g2").agg(F.sum("shared").alias("shared")), "group-pairs")
-    for i in (1, 2):
-        pairs = pairs.join(groups.select(F.col("group").alias(f"g{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")), f"g{i}")
-    pairs = stored(may_link(pairs).select("g1", "g2"), "group-pairs")
-    open_ = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
-    inside = groups.filter("size > 1").select("group")
-    wanted = stored(open_.union(inside).distinct(), "group-wanted")
-    texts = base.join(member.join(wanted, "group", "left_semi").select("doc", "group"), "doc")
-    texts = texts.groupBy("group").agg(F.collect_list(F.struct("doc", "text")).alias("members"))
-    texts = stored(texts, "group-texts")
-    one = texts.select(F.col("group").alias("g1"), F.col("members").alias("m1"))
-    two = texts.select(F.col("group").alias("g2"), F.col("members").alias("m2"))
-    # An own group is sent once; the second place stays empty.
-    own = one.filter(F.size("m1") > 1).select("g1", "m1", F.col("g1").alias("g2"), F.lit(None).cast(two.schema["m2"].dataType).alias("m2"))
-    across = pairs.join(one, "g1").join(two, "g2").select("g1", "m1", "g2", "m2")
-    links = own.mapInArrow(_links, "a long, b long").union(across.mapInArrow(_links, "a long, b long"))
-    found = stored(components(links), "shingle-components")
+    # 2. tokens that two documents have
+    cells = usable.join(classes.select("same", "doc"), ["same", "doc"]).select(F.explode("prefix").alias("token"), "doc", F.col("n").cast("int").alias("n"))
+    common = cells.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("token")
+    cells = stored(cells.join(stored(common, "shared-tokens"), "token"), "shared-cells")
+    # 3. pivots, then pivots among themselves
+    pivots = classes.groupBy("least").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    mates = stored(classes.join(pivots, "least").filter("doc != pivot").select(F.col("pivot").alias("group"), "doc"), "pivot-mates")
+    alone = mates.select("group").distinct().select("group", F.col("group").alias("doc"), F.lit(False).alias("own"))
+    stars = stored(links_of(base, alone, mates), "pivot-links")
+    discard(mates)
+    heads = stored(stars.select(F.col("b").alias("doc")).distinct(), "pivots")
+    asked = candidates(cells, heads.select("doc", F.col("doc").alias("group"), F.col("doc").alias("component")))
+    bridges = stored(links_of(base, heads.select(F.col("doc").alias("group"), "doc", F.lit(False).alias("own")), asked), "pivot-bridges")
+    discard(asked)
+    known = stored(components(stars.union(bridges)), "known-components")
+    # 4. every document against the groups of other components
+    placed, members = _grouped(classes, known.select(F.col("id").alias("doc"), "component"))
+    asked = candidates(cells, placed)
+    links = stored(links_of(base, members, asked), "group-links")
+    discard(asked)
+    discard(cells)
+    found = stored(components(stars.union(bridges).union(links)), "shingle-components")
     reps = classes.select("same", F.col("doc").alias("id")).join(found, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     out = about.join(stored(reps, "class-components"), "same", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if names is None:
+        return out.withColumnRenamed("doc", id_col)
+    out = out.join(names.select("doc", "id"), "doc", "left").join(names.select(F.col("doc").alias("component_id"), F.col("id").alias("name")), "component_id", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("name").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

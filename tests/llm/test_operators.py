@@ -188,11 +188,26 @@ def test_jaccard_equals_brute_force(spark):
     assert got == brute_components(texts)
 
 
-def test_group_is_opened_only_if_the_union_overlaps():
+def test_group_is_opened_only_if_the_union_overlaps(spark):
     texts = [words(100, 1).encode(), near(words(100, 1), 5).encode()]
     m = jaccard_join.Matcher([{"doc": i, "text": t} for i, t in enumerate(texts)])
     assert m.linked(jaccard_join.shingles(words(100, 2).encode())).tolist() == []
     assert m.linked(jaccard_join.shingles(texts[0])).tolist() == [0, 1]
+    # two tokens of a union of many do not open a group of documents of 100 shingles; forty do, unless the component is the same
+    cells = [(k, 1, 100) for k in range(60)] + [(k, 2, 100) for k in range(2)] + [(k, 3, 100) for k in range(40)] + [(k, 4, 100) for k in range(40)]
+    cells = spark.createDataFrame(cells, "token long, doc long, n int")
+    placed = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 4, 1)], "doc long, group long, component long")
+    assert sorted(map(tuple, jaccard_join.candidates(cells, placed).collect())) == [(1, 3), (3, 4)]
+
+
+def test_jaccard_of_many_near_copies_and_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(jaccard_join, "QUERIES", 5)
+    base = [words(60, 70), words(60, 71)]
+    texts = [near(base[k % 2], k) for k in range(80)] + [near(near(near(base[0], 200 + k), 300 + k), 400 + k) for k in range(30)] + [base[0].upper(), base[1]] + [words(60, 80 + k) for k in range(20)]
+    rows = [(f"d{i:04}", t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f"d{i:04}": (n, f"d{c:04}") for i, (n, c) in brute_components(texts).items()}
 
 
 # --- 6
