@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -55,10 +57,80 @@ def test_transducer_equals_the_library():
         assert t.encode(s) == lib.encode(s)
 
 
-def test_least_path_takes_the_heaviest_pieces():
-    t = sentencepiece_wfst.Transducer(sentencepiece_wfst.DEFAULT_MODEL)
-    t.bpe, t.scores = False, {p: -float(len(p) == 1) - 0.1 for p in t.ids}
-    assert "".join(p for _, p in t._least_path("the")) == "the" and len(t._least_path("the")) == 1
+def _message(key, value):
+    """One field of a protocol buffer message."""
+
+    def varint(n):
+        out = b""
+        while True:
+            out += bytes([n & 127 | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return out
+
+    if isinstance(value, int):
+        return varint(key << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(key << 3 | 5) + struct.pack("<f", value)
+    return varint(key << 3 | 2) + varint(len(value)) + value
+
+
+def model_like(unigram=False, user=(), fallback=True, **spec):
+    """The public model with other weights, kinds of pieces or normaliser settings; nothing is trained."""
+    read_ = sentencepiece_wfst._fields
+    out = b""
+    for k, v in read_(open(sentencepiece_wfst.DEFAULT_MODEL, "rb").read()):
+        f = dict(read_(v))
+        if k == 1:
+            piece, score, kind = f[1], struct.unpack("<f", f.get(2, b"\0" * 4))[0], f.get(3, 1)
+            if unigram and kind == 1:
+                score = -3.0 - zlib.crc32(piece) / 2**32 * 10
+            if not fallback and kind == 6:
+                piece, score, kind = b"\xee\x80\x80" + piece, -90.0, 1
+            v = _message(1, piece) + _message(2, score) + _message(3, 4 if piece.decode() in user else kind)
+        elif k == 2:
+            f |= ({3: 1} if unigram else {}) | ({} if fallback else {35: 0})
+            v = b"".join(_message(a, x) for a, x in f.items() if a not in (10, 15, 51))
+        elif k == 3:
+            v = b"".join(_message(a, x) for a, x in (f | {int(a[1:]): x for a, x in spec.items()}).items())
+        out += _message(k, v)
+    return out
+
+
+@pytest.fixture(scope="module")
+def character_map():
+    import sentencepiece
+
+    read_ = sentencepiece_wfst._fields
+    proto = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    return dict(read_(dict(read_(proto))[3]))[2]
+
+
+@pytest.mark.parametrize("options", [{}, {"f4": 1}, {"f3": 0}, {"map": 1, "f4": 1}, {"user": ("the", "▁in", "0")}, {"fallback": False}], ids=str)
+@pytest.mark.parametrize("unigram", [False, True])
+def test_transducer_equals_the_library_for_other_models(character_map, unigram, options):
+    import sentencepiece
+
+    options = dict(options)
+    if options.pop("map", None):
+        options["f2"] = character_map
+    model = model_like(unigram, **options)
+    t, lib = sentencepiece_wfst.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    r = random.Random(7)
+    for _ in range(500):
+        s = "".join(r.choice("   ab theingern\n\t▁é日本ﬁ😀xyzZ.,0123#<>s①ｶﾞ㍿Å　 ½") for _ in range(r.randrange(50)))
+        ids = lib.encode(s)
+        assert t.encode(s) == ids and t.decode(ids) == lib.decode(ids)
+
+
+def test_shortest_path_is_the_least_of_all_paths():
+    t = sentencepiece_wfst.Transducer(model_like(unigram=True))
+
+    def every(s):
+        return [[]] if not s else [[a, *rest] for a in t.arcs(s, 0) for rest in every(s[len(a[1]) :])]
+
+    for s in ("▁theme", "▁in日the", "zzzx", "▁rings"):
+        assert sum(w for _, _, w in min(every(s), key=lambda p: sum(w for _, _, w in p))) == sum(next(w for i, c, w in t.arcs(s, len("".join(x for _, x in p[:k]))) if (i, c) == p[k]) for p in [t.shortest(s)] for k in range(len(p)))
 
 
 def test_encode_rows(spark):
