@@ -356,7 +356,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = cells.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("token")
     cells = stored(cells.join(stored(common, "shared-tokens"), "token"), "shared-cells")
     # 3. pivots, then pivots among themselves
-    pivots = classes.groupBy("least").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Stored, so that the join on a hot leading shingle has no aggregate in its tasks and can be split.
+    pivots = stored(classes.groupBy("least").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "leading-pivots")
     mates = stored(classes.join(pivots, "least").filter("doc != pivot").select(F.col("pivot").alias("group"), "doc"), "pivot-mates")
     alone = mates.select("group").distinct().select("group", F.col("group").alias("doc"), F.lit(False).alias("own"))
     stars = stored(links_of(base, alone, mates), "pivot-links")

@@ -2,8 +2,11 @@
 
 Paragraphs are lines cut at sentence ends.  Their features are hashed word 1- and 2-grams; a softmax regression over
 licence families, "unknown" (speaks like a licence, names none of the families) and "none" is trained here, on the
-driver, from the templates below and a bounded sample of paragraphs.  A temperature fitted on rows held out makes the
-probabilities honest.  Scoring is one pass over whole texts in numpy: gather the weights, add them up by paragraph.
+driver, from the templates below and a bounded sample of paragraphs.  The templates are dealt into folds, whole ones to
+each; a temperature that makes the probabilities honest for templates never seen is fitted on what models of the other
+folds say of each fold.  A prediction counts if the paragraph shares enough word trigrams with a template of that family
+and not more with one of another, which tells the GPL, LGPL and AGPL apart.  Scoring is one pass over whole texts in
+numpy: gather the weights, add them up by paragraph.
 """
 
 from __future__ import annotations
@@ -18,62 +21,130 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm.common import read
 
-#: Notices and well-known sentences of public licences.
+#: Notices and sentences of public licences.
 TEMPLATES = {
     "agpl": [
         "licensed under the GNU Affero General Public License version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "released under the AGPL 3.0 license",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+        "See the GNU Affero General Public License for more details",
+        "This file is part of a program that is free software under the GNU AGPL, either version 3 of the License, or any later version",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0",
+        "Licensed to the Apache Software Foundation under one or more contributor license agreements",
         "you may not use this file except in compliance with the License",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "See the License for the specific language governing permissions and limitations under the License",
+        "released under the Apache 2.0 license",
+        "This project is distributed under the terms of the Apache License, Version 2.0",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+        "licensed under the 2-clause BSD license",
+        "distributed under the terms of the modified BSD license",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Use, modification and distribution are subject to the Boost Software License, Version 1.0",
+        "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "Content is available under the Creative Commons Attribution license",
+        "text available under CC-BY 3.0",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "Content is available under the Creative Commons Attribution-NonCommercial license",
+        "shared under CC BY-NC 3.0 for noncommercial use only",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Text is available under the Creative Commons Attribution-ShareAlike License",
+        "shared under CC BY-SA 3.0, share alike",
     ],
     "cc0": [
         "released under CC0 1.0",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication",
+        "made available under the Creative Commons CC0 waiver",
+    ],
+    "epl": [
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "Licensed under the Eclipse Public License 1.0",
+        "which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "either version 2 of the License, or (at your option) any later version of the GNU GPL",
         "released under the GPL version 2 license",
+        "You should have received a copy of the GNU General Public License along with this program",
+        "See the GNU General Public License for more details",
+        "may be used under the terms of the GNU General Public License version 2.0 or later",
+        "distributed under the GPLv3",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "licensed under the ISC License",
+        "distributed under the terms of the ISC license",
     ],
     "lgpl": [
         "licensed under the GNU Lesser General Public License version 2.1",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is distributed in the hope that it will be useful under the GNU LGPL",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "See the GNU Lesser General Public License for more details",
+        "under the terms of the GNU Library General Public License, version 2",
+        "released under the LGPL 3.0 license",
     ],
     "mit": [
         "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE",
+        "This project is licensed under the terms of the MIT license",
+        "distributed under the MIT licence, see the LICENSE file",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
         "Licensed under the Mozilla Public License 2.0",
+        "released under the MPL 2.0 license",
+    ],
+    "reserved": [
+        "All rights reserved",
+        "Copyright by the authors, all rights reserved",
+        "No part of this publication may be reproduced without permission",
+        "reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
+        "released under the Unlicense",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+        "licensed under the zlib license",
     ],
-    "reserved": ["All rights reserved", "Copyright by the authors, all rights reserved", "No part of this publication may be reproduced without permission"],
 }
 #: Parts of licence-like sentences that name no known family.
 UNKNOWN_VERBS = ["licensed under the", "distributed under the", "released under the terms of the", "covered by the", "subject to the", "available under the"]
@@ -84,6 +155,7 @@ TERMS = re.compile(r"(?i)licen[sc]|copyright|copyleft|rights reserved|permission
 _WORD = re.compile(r"[a-z0-9]+|[^\x00-\x7f]+")
 _ENDS = re.compile(rb"\n|(?<=[.!?])[ \t]+")
 BUCKETS_LOG2 = 15
+FOLDS = 3
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,7 +211,7 @@ class Model:
     classes: list[str]
     temperature: float
     confirm: float = 0.5
-    prior: float = 0.9995
+    prior: float = 0.9
 
     def probabilities(self, text: bytes, cuts: np.ndarray) -> np.ndarray:
         bucket, part = features(text, cuts)
@@ -156,81 +228,136 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
     def confirmed(self, family: str, text: str) -> bool:
-        """Whether enough of one template's trigrams, or of the paragraph's own, are shared."""
+        """Whether enough trigrams of one template, or of the paragraph, are shared, and none of another family's shares more."""
         own = trigrams(text)
-        return any(len(own & t) >= self.confirm * min(len(own), len(t)) for t in (trigrams(x) for x in TEMPLATES.get(family, []))) if own else False
+        if not own or family not in TEMPLATES:
+            return False
+        best: dict[str, float] = {}
+        for name, t in _template_trigrams():
+            best[name] = max(best.get(name, 0.0), len(own & t) / min(len(own), len(t)) + len(own & t) / 1000)
+        return best[family] >= self.confirm and best[family] >= max(best.values())
 
 
-def training_rows(background: list[str], seed: int = 1, copies: int = 20) -> list[tuple[str, str]]:
-    """(class, paragraph): templates with words dropped, cut, or set among background words, and others."""
+@functools.lru_cache(maxsize=1)
+def _template_trigrams() -> list[tuple[str, set[tuple[str, ...]]]]:
+    return [(family, trigrams(x)) for family, texts in TEMPLATES.items() for x in texts]
+
+
+def training_rows(background: list[str], seed: int = 1, copies: int = 8) -> list[tuple[str, str, int]]:
+    """(class, paragraph, fold): templates with words dropped, cut, or set among background words, and others.
+
+    All copies of a template, and all unknown sentences of a name, are of one fold.
+    """
     rnd = random.Random(seed)
     loose = [w for p in background[:500] for w in p.split()] or ["the"]
     out = []
     for family, texts in TEMPLATES.items():
-        for k in range(copies * 3):
-            w = rnd.choice(texts).split()
-            if k % 3 == 1:
+        for k in range(copies * len(texts)):
+            w = texts[k % len(texts)].split()
+            if k // len(texts) % 3 == 1:
                 w = [x for x in w if rnd.random() > 0.08] or w
-            if k % 3 == 2:
+            if k // len(texts) % 3 == 2:
                 w = rnd.choices(loose, k=rnd.randint(1, 4)) + w + rnd.choices(loose, k=rnd.randint(0, 4))
-            out.append((family, " ".join(w)))
-    for _ in range(copies * 6):
-        w = f"{rnd.choice(UNKNOWN_VERBS)} {rnd.choice(UNKNOWN_NAMES)} {rnd.choice(UNKNOWN_ENDS)}".split()
-        out.append(("unknown", " ".join(rnd.choices(loose, k=rnd.randint(0, 3)) + w)))
-    return out + [("none", p) for p in background]
-
-
-def train(background: list[str], rounds: int = 80, rate: float = 2.0, decay: float = 1e-4) -> Model:
-    """Softmax regression by gradient descent on four fifths of the rows, the temperature on the rest."""
-    rows = training_rows(background)
-    random.Random(2).shuffle(rows)
-    classes = sorted({c for c, _ in rows} | {"none", "unknown"})
-    y = np.array([classes.index(c) for c, _ in rows])
-    flat, owner = [], []
-    for i, (_, text) in enumerate(rows):
-        bucket, _ = features(text.encode(), np.zeros(1, np.int64))
-        flat.append(bucket)
-        owner.append(np.full(len(bucket), i))
-    flat, owner = np.concatenate(flat), np.concatenate(owner)
-    used, col = np.unique(flat, return_inverse=True)
-    size = np.maximum(np.bincount(owner, minlength=len(rows)), 1)
-    value = (1 / np.sqrt(size))[owner]
-    held = np.arange(len(rows)) % 5 == 0
-    w = np.zeros((len(used), len(classes)))
-
-    who, at = np.unique(owner, return_index=True)
-    by_col = np.argsort(col, kind="stable")
-    col_at = np.unique(col[by_col], return_index=True)[1]
-
-    def scores(w: np.ndarray) -> np.ndarray:
-        z = np.zeros((len(rows), len(classes)))
-        z[who] = np.add.reduceat(w[col] * value[:, None], at, axis=0)
-        return z
+            out.append((family, " ".join(w), k % len(texts) % FOLDS))
+    for k in range(copies * 24):
+        name = UNKNOWN_NAMES[k % len(UNKNOWN_NAMES)]
+        w = f"{rnd.choice(UNKNOWN_VERBS)} {name} {rnd.choice(UNKNOWN_ENDS)}".split()
+        out.append(("unknown", " ".join(rnd.choices(loose, k=rnd.randint(0, 3)) + w), k % len(UNKNOWN_NAMES) % FOLDS))
+    return out + [("none", p, k % FOLDS) for k, p in enumerate(background)]
 
-    def soft(z: np.ndarray) -> np.ndarray:
-        p = np.exp(z - z.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
 
-    truth = np.eye(len(classes))[y]
-    share = np.bincount(y, minlength=len(classes)).astype(float)
-    weight = (len(rows) / len(classes) / np.maximum(share, 1))[y] * ~held
-    for _ in range(rounds):
-        gap = (soft(scores(w)) - truth) * weight[:, None]
-        grad = np.add.reduceat((gap[owner] * value[:, None])[by_col], col_at, axis=0)
-        w -= rate * (grad / len(rows) * len(classes) + decay * w)
-    z = scores(w)[held]
-    loss = lambda t: -np.log(soft(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean()
-    temperature = min((0.05 * 1.25**k for k in range(24)), key=loss)
-    full = np.zeros((1 << BUCKETS_LOG2, len(classes)), np.float32)
-    full[used] = w
-    return Model(full, classes, float(temperature))
+def _soft(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
 
+@dataclass
+class Fitting:
+    """Rows as a sparse matrix of hashed features, and gradient descent on some of them."""
+
+    rows: list[tuple[str, str, int]]
+
+    def __post_init__(self):
+        self.classes = sorted({c for c, *_ in self.rows} | {"none", "unknown"})
+        self.y = np.array([self.classes.index(c) for c, *_ in self.rows])
+        self.fold = np.array([f for *_, f in self.rows])
+        cells = [features(text.encode(), np.zeros(1, np.int64))[0] for _, text, _ in self.rows]
+        self.owner = np.repeat(np.arange(len(cells)), [len(x) for x in cells])
+        self.used, self.col = np.unique(np.concatenate(cells), return_inverse=True)
+        size = np.maximum(np.bincount(self.owner, minlength=len(cells)), 1)
+        self.value = (1 / np.sqrt(size))[self.owner]
+        self.who, self.at = np.unique(self.owner, return_index=True)
+        self.by_col = np.argsort(self.col, kind="stable")
+        self.col_at = np.unique(self.col[self.by_col], return_index=True)[1]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        z = np.zeros((len(self.rows), len(self.classes)))
+        z[self.who] = np.add.reduceat(w[self.col] * self.value[:, None], self.at, axis=0)
+        return z
 
-def fit(docs: DataFrame, text_col: str = "text", background_docs: int = 300, background_chars: int = 20_000, background_rows: int = 1500) -> Model:
-    """Train with background paragraphs from at most ``background_docs`` documents and ``background_rows`` paragraphs."""
-    rows = docs.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, background_chars).alias("t")).limit(background_docs).collect()
-    lines = [p.strip() for r in rows for p in re.split(r"\n|(?<=[.!?])[ \t]+", r.t)]
-    return train([p for p in lines if p and not TERMS.search(p)][:background_rows])
+    def weights(self, some: np.ndarray, rounds: int, rate: float, decay: float) -> np.ndarray:
+        """Softmax regression on the rows ``some``, each class weighing the same."""
+        truth, w = np.eye(len(self.classes))[self.y], np.zeros((len(self.used), len(self.classes)))
+        share = np.bincount(self.y[some], minlength=len(self.classes)).astype(float)
+        weight = (some.sum() / len(self.classes) / np.maximum(share, 1))[self.y] * some
+        for _ in range(rounds):
+            gap = (_soft(self.scores(w)) - truth) * weight[:, None]
+            grad = np.add.reduceat((gap[self.owner] * self.value[:, None])[self.by_col], self.col_at, axis=0)
+            w -= rate * (grad / some.sum() * len(self.classes) + decay * w)
+        return w
+
+    def unseen(self, rounds: int, rate: float, decay: float) -> np.ndarray:
+        """Scores of each fold by a model of the others."""
+        z = np.zeros((len(self.rows), len(self.classes)))
+        for f in range(FOLDS):
+            z[self.fold == f] = self.scores(self.weights(self.fold != f, rounds, rate, decay))[self.fold == f]
+        return z
+
+
+def train(background: list[str], rounds: int = 80, rate: float = 5.0, decay: float = 1e-4) -> Model:
+    """The model of all rows, with the temperature that suits templates that a model has not seen."""
+    fitting = Fitting(training_rows(background))
+    z, y = fitting.unseen(rounds, rate, decay), fitting.y
+    loss = lambda t: -np.log(_soft(z / t)[np.arange(len(z)), y] + 1e-12).mean()
+    temperature = min((0.05 * 1.25**k for k in range(24)), key=loss)
+    full = np.zeros((1 << BUCKETS_LOG2, len(fitting.classes)), np.float32)
+    full[fitting.used] = fitting.weights(np.ones(len(y), bool), rounds, rate, decay)
+    return Model(full, fitting.classes, float(temperature))
+
+
+def unseen_quality(background: list[str], rounds: int = 80, rate: float = 5.0, decay: float = 1e-4, bins: int = 10) -> dict[str, float]:
+    """What models say of templates they have not seen: shares called a licence and called the right family, false alarms, and the
+    calibration error (mean gap between confidence and accuracy in bins of confidence)."""
+    fitting = Fitting(training_rows(background))
+    z, y = fitting.unseen(rounds, rate, decay), fitting.y
+    p = _soft(z / train(background, rounds, rate, decay).temperature)
+    none, unknown = fitting.classes.index("none"), fitting.classes.index("unknown")
+    said, sure = p.argmax(1), p.max(1)
+    known = (y != none) & (y != unknown)
+    place = np.minimum((sure * bins).astype(int), bins - 1)
+    gaps = [abs(sure[place == b].mean() - (said == y)[place == b].mean()) * (place == b).mean() for b in range(bins) if (place == b).any()]
+    return {
+        "licence": float((said != none)[y != none].mean()), "family": float((said == y)[known].mean()),
+        "false": float((said != none)[y == none].mean()), "calibration_error": float(sum(gaps)),
+    }
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", background_docs: int = 300, per_doc: int = 5, paragraph_chars: int = 2000) -> Model:
+    """Train with background paragraphs of a bounded sample: ``per_doc`` of each of ``background_docs`` documents.
+
+    Both are the least by a hash, of id and text and of the paragraph, over all documents and whole texts, so the sample
+    does not depend on files or partitions.  Of a paragraph at most ``paragraph_chars`` are used.  Runs two jobs.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.filter(F.transform(F.split(text, r"\n|(?<=[.!?])[ \t]+"), F.trim), lambda p: (p != "") & ~F.rlike(p, F.lit(TERMS.pattern)))
+    first = F.slice(F.array_sort(F.transform(F.array_distinct(parts), lambda p: F.struct(F.xxhash64(p).alias("h"), F.substring(p, 1, paragraph_chars).alias("p")))), 1, per_doc)
+    order = F.xxhash64(F.col(id_col), text)
+    last = docs.select(order.alias("h")).orderBy("h").limit(background_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    some = docs.filter(order <= last).select(order.alias("h"), F.col(id_col).alias("i"), first.alias("parts"))
+    rows = some.orderBy("h", "i").limit(background_docs).collect()
+    return train([x["p"] for r in rows for x in r.parts])
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -238,24 +365,19 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Offsets are code points of the paragraph.  A family counts if its probability reaches ``least`` and a
     template confirms it; if none does, or the confirmation fails, but licence classes together reach
-    ``least`` and the paragraph has one of ``TERMS``, it is reported as "unknown".  A null or empty text has none.  Ids pass through, null
-    or repeated; an empty table gives an empty result; other columns are not returned.
+    ``least`` and the paragraph has one of ``TERMS``, it is reported as "unknown".  A null or empty text has none.  Ids of any type pass
+    through, null or repeated; an empty table gives an empty result; other columns are not returned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema(
-        [
-            ("doc", pa.int64()),
-            ("found", pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))),
-        ]
-    )
+    shape = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         none = m.classes.index("none")
         for batch in batches:
-            out = []
             for k in range(0, batch.num_rows, 256):
-                for doc, text in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                part_of, out = batch.slice(k, 256), []
+                for text in part_of.column(1).to_pylist():
                     found = []
                     cuts = paragraphs(text)
                     p = m.probabilities(text, cuts)
@@ -269,11 +391,11 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                             continue
                         start = len(text[:s].decode())
                         found.append({"family": family if sure else "unknown", "start": start, "end": start + len(part), "probability": round(float(p[i, best] if sure else 1 - p[i, none]), 6), "confirmed": bool(sure)})
-                    out.append((doc, found))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], []), schema, strict=True)], schema=schema)
+                    out.append(found)
+                yield pa.RecordBatch.from_arrays([part_of.column(0), pa.array(out, shape)], names=["doc", "found"])
 
-    kind = "doc long, found array<struct<family: string, start: int, end: int, probability: double, confirmed: boolean>>"
     base = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    kind = StructType([base.schema["doc"], *StructType.fromDDL("found array<struct<family: string, start: int, end: int, probability: double, confirmed: boolean>>")])
     return base.mapInArrow(run, kind).withColumnRenamed("doc", id_col)
 
 
