@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import keyed, read, stored, words
+from graphloom.llm.common import discard, keyed, read, stored, words
 
 #: Rates are multiples of one millionth.
 UNIT = 1_000_000
@@ -71,7 +71,11 @@ def _solve(cells: DataFrame, state: DataFrame, cap: float, steps: int, tolerance
         step = F.coalesce(step, (F.col("lo") + F.col("hi")) / 2)
         done = (F.abs(gap) <= F.greatest(F.lit(1.0), tolerance * F.col("target"))) | (F.col("hi") - F.col("lo") <= 1e-12)
         s = s.withColumn("lam", F.when(F.col("open") & ~done, step).otherwise(F.col("lam"))).withColumn("open", F.col("open") & ~done)
-        state = stored(s.drop("got", "slope"), "mixing-dual")
+        before, state = state, stored(s.drop("got", "slope"), "mixing-dual")
+        discard(before)
+    else:
+        if not state.filter("open").isEmpty():
+            raise RuntimeError(f"the dual has not converged in {steps} steps; raise steps or tolerance")
     return state
 
 
@@ -93,13 +97,16 @@ def mix(
     input.  A source's target stops at ``cap`` times its size and the excess goes to the others by weight.
     ``copies`` are the whole and begun copies taken; only the last one may be cut, to ``taken - (copies - 1) *
     size`` words.  Null and empty texts have size 0 and are never taken.  A row without an id, or repeating
-    one, is a document of its own.  An empty table gives an empty result; other columns are not returned, but for
-    ``key_col``, a number that is unique to the row; with it rows without an id are spread over the blocks.
+    one, is a document of its own; texts spread such rows over the blocks, or ``key_col`` does, a number that is
+    unique to the row.  An empty table gives an empty result; other columns are not returned, but for ``key_col``.
+    Runs jobs when called, and raises RuntimeError if a source's dual has not converged in ``steps``.
     """
     key = ["key"] if key_col else []
-    named = F.when(F.col("doc_id").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64("doc_id")) if key_col else F.xxhash64("doc_id")
+    named = F.xxhash64("doc_id", "spread")
+    named = F.when(F.col("doc_id").isNull(), F.xxhash64(*key)).otherwise(named) if key else named
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
+    spread = F.xxhash64(text)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), spread.alias("spread"), *([F.col(key_col).alias("key")] if key_col else []))
     sized = stored(sized, "mixing-sizes")
     cells = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
     sources = cells.groupBy("source").agg(
@@ -114,14 +121,14 @@ def mix(
     solved = _solve(stored(numbered_cells, "mixing-cells"), state, float(cap), steps, tolerance)
     solved = solved.select(F.col("source").alias("_source"), "source_no", "source_size", "n_docs", "target", "mean", "lam")
     rated = sized.join(solved, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "source_no", "source_size", "target",
+        "doc_id", "spread", "size", "source_no", "source_size", "target",
         F.when(F.col("size") > 0, _rate(F.col("lam"), F.col("size").cast("double"), F.col("mean"), float(cap))).otherwise(0).alias("rate"),
         named.alias("h"),
         F.pmod(named, F.ceil(F.col("n_docs") / block_docs)).alias("block"),
         *key,
     )
     block = Window.partitionBy("source_no", "block")
-    line = block.orderBy("size", "h", "doc_id", *key).rowsBetween(Window.unboundedPreceding, 0)
+    line = block.orderBy("size", "h", "doc_id", "spread", *key).rowsBetween(Window.unboundedPreceding, 0)
     part, half = F.col("rate") % UNIT, UNIT // 2
     ends = rated.withColumn("cum", F.sum(part).over(line))
     step = F.floor((F.col("cum") + half) / UNIT) - F.floor((F.col("cum") - part + half) / UNIT)
@@ -130,7 +137,7 @@ def mix(
     due = F.round(F.sum(F.col("rate").cast("decimal(20,0)") * F.col("size")).over(block) / UNIT).cast("long")
     left = copied.withColumn("due", due - F.sum("words").over(block))
     room = F.when(F.col("due") > 0, cap * F.col("size") - F.col("words")).otherwise(F.col("words"))
-    by_room = block.orderBy(F.col("room").desc(), "size", "h", "doc_id", *key).rowsBetween(Window.unboundedPreceding, -1)
+    by_room = block.orderBy(F.col("room").desc(), "size", "h", "doc_id", "spread", *key).rowsBetween(Window.unboundedPreceding, -1)
     left = left.withColumn("room", room).withColumn("used", F.coalesce(F.sum("room").over(by_room), F.lit(0)))
     move = F.greatest(F.lit(0), F.least(F.col("room"), F.abs("due") - F.col("used"))) * F.signum(F.col("due").cast("double")).cast("long")
     taken = (F.col("words") + move).cast("long")

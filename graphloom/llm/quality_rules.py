@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import SPACES, let, read, words
 
-#: Phrases of boilerplate lines, lower case.
+#: Phrases of boilerplate lines in English, German, French and Spanish, lower case, words parted by one space.
 BOILERPLATE = [
     "all rights reserved",
     "accept cookies",
@@ -26,6 +26,21 @@ BOILERPLATE = [
     "subscribe to",
     "terms of service",
     "terms of use",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "hier klicken",
+    "weiterlesen",
+    "nutzungsbedingungen",
+    "tous droits réservés",
+    "accepter les cookies",
+    "cliquez ici",
+    "lire la suite",
+    "conditions d utilisation",
+    "todos los derechos reservados",
+    "aceptar cookies",
+    "haga clic aquí",
+    "leer más",
+    "términos de uso",
 ]
 SYMBOLS = r"[#*$%&|<>]"
 #: Words that are only a separator of a menu.
@@ -39,15 +54,29 @@ def _count(text: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
-def line_fails(line: Column, n: Column, boilerplate: list[str], boilerplate_words: int, short: int) -> Column:
-    """Whether one line of ``n`` words fails a rule; a line without words never does."""
+def line_fails(line: Column, n: Column, boilerplate: list[str], boilerplate_words: int, share: int) -> Column:
+    """Whether one line of ``n`` words fails a rule by itself; a line without words never does."""
     low = F.lower(line)
     navigation = (_count(line, SEPARATOR) >= 3) & (5 * _count(line, SEPARATOR) >= n)
-    punctuation = ((n >= 3) & (2 * _count(line, MARKS) >= n)) | ((n < short) & ~F.rlike(line, F.lit(TERMINAL)))
-    phrases = F.lit(False)
+    shouting = (n >= 3) & (2 * _count(line, MARKS) >= n)
+    # Letters and digits in runs parted by one space: a phrase counts only between two of them.
+    plain = F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+    def stock(text: Column) -> Column:
+        words_of = F.lit(0)
+        for p in boilerplate:
+            words_of = words_of + F.when(F.contains(text, F.lit(f" {p} ")), p.count(" ") + 1).otherwise(0)
+        return 100 * words_of >= share * n
+
+    maybe = F.lit(False)
     for p in boilerplate:
-        phrases = phrases | F.contains(low, F.lit(p))
-    return (n > 0) & (punctuation | navigation | ((n <= boilerplate_words) & phrases))
+        maybe = maybe | F.contains(low, F.lit(max(p.split(), key=len)))
+    return (n > 0) & (shouting | navigation | ((n <= boilerplate_words) & maybe & let(plain, stock)))
+
+
+def line_is_short(line: Column, n: Column, short: int) -> Column:
+    """Whether a line is as short as a menu's, and no sentence."""
+    return (n > 0) & (n < short) & ~F.rlike(line, F.lit(TERMINAL))
 
 
 def _repeated_words(w: Column, span: int = 8) -> Column:
@@ -79,16 +108,19 @@ def quality(
     max_lost_pct: int = 50,
     boilerplate: list[str] = BOILERPLATE,
     boilerplate_words: int = 30,
+    boilerplate_pct: int = 25,
     short_line: int = 3,
 ) -> DataFrame:
     """All columns of ``docs`` plus one struct column ``quality``.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, lost_words (words
     of removed lines), kept, clean_text (the lines that pass, joined by a newline).  A line fails by
-    *punctuation* (marks such as !! or ### after half its words; or fewer than ``short_line`` words and no end
-    mark), by *navigation* (three or more lone separators, a fifth of its words) or by *boilerplate* (a stock
-    phrase in a line of at most ``boilerplate_words``).  A document is rejected by the base rules, or when the
-    removed lines hold more than ``max_lost_pct`` of its words.  A null text has no words and fails the base
+    *punctuation* (marks such as !! or ### after half its words), by *navigation* (three or more lone separators,
+    a fifth of its words; or fewer than ``short_line`` words and no end mark next to another such line, so that a
+    heading over a paragraph stays) or by *boilerplate* (stock phrases, whole words, are ``boilerplate_pct`` of
+    the words of a line of at most ``boilerplate_words``).  A document is rejected by the base rules, or when the
+    removed lines hold more than ``max_lost_pct`` of its words.  Repeated windows are told by 64-bit hashes of
+    their words.  A null text has no words and fails the base
     rules; so does an empty one.  Blank lines never fail.  Ids play no part, so repeated rows are judged
     alike; an empty table gives an empty result.  A column already called ``quality`` is replaced.
     """
@@ -100,12 +132,17 @@ def quality(
             lambda x: let(
                 F.size(words(x)),
                 lambda n: F.struct(
-                    x.alias("line"), n.alias("n"), line_fails(x, n, boilerplate, boilerplate_words, short_line).alias("bad")
+                    x.alias("line"), n.alias("n"), line_fails(x, n, boilerplate, boilerplate_words, boilerplate_pct).alias("bad"), line_is_short(x, n, short_line).alias("short")
                 ),
             ),
         )
+
+        def judged(m: Column) -> Column:
+            menu = lambda x, i: x["short"] & (F.coalesce(F.get(m, i - 1)["short"], F.lit(False)) | F.coalesce(F.get(m, i + 1)["short"], F.lit(False)))
+            return F.transform(m, lambda x, i: F.struct(x["line"].alias("line"), x["n"].alias("n"), (x["bad"] | menu(x, i)).alias("bad")))
+
         return let(
-            marked,
+            let(marked, judged),
             lambda m: F.struct(
                 let(
                     F.transform(F.filter(m, lambda x: x["n"] > 0), lambda x: x["line"]), lambda g: F.size(g) - F.size(F.array_distinct(g))
@@ -143,7 +180,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = r"[\x20\x09-\x0D]"
-_PHRASES = " or ".join(f"contains(low, '{p}')" for p in BOILERPLATE)
+_STOCK = " + ".join(f"case when contains(plain, ' {p} ') then {p.count(' ') + 1} else 0 end" for p in BOILERPLATE)
 _MARKS, _SEPARATOR, _TERMINAL = MARKS, SEPARATOR, TERMINAL.replace("'", "''").replace(r"\"", '"')
 ORACLE_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -153,12 +190,14 @@ y as (select doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') as g from
 z as (select doc_id, i, count(*) over (partition by doc_id, g) as n from y),
 p as (select doc_id, i - lag(i) over (partition by doc_id order by i) as step from z where n >= 2),
 r as (select doc_id, sum(least(8, coalesce(step, 8))) as rep from p group by doc_id),
-l as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
-m as (select doc_id, line, lower(line) as low, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
+l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from d),
+m as (select doc_id, i, line, ' ' || trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' as plain, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
         len(regexp_extract_all(line, '{_MARKS}')) as marks,
         len(regexp_extract_all(line, '{_SEPARATOR}')) as seps from l),
-b as (select doc_id, line, n, (n > 0 and ((n >= 3 and 2 * marks >= n) or (n < 3 and not regexp_matches(line, '{_TERMINAL}'))
-        or (seps >= 3 and 5 * seps >= n) or (n <= 30 and ({_PHRASES})))) as bad from m),
+s as (select *, n > 0 and n < 3 and not regexp_matches(line, '{_TERMINAL}') as short from m),
+o as (select *, short and (coalesce(lag(short) over w, false) or coalesce(lead(short) over w, false)) as menu from s window w as (partition by doc_id order by i)),
+b as (select doc_id, line, n, (n > 0 and ((n >= 3 and 2 * marks >= n) or menu
+        or (seps >= 3 and 5 * seps >= n) or (n <= 30 and 100 * ({_STOCK}) >= 25 * n))) as bad from o),
 c as (select doc_id, count(*) filter (where n > 0) - count(distinct line) filter (where n > 0) as dup,
         coalesce(sum(n) filter (where bad), 0) as lost from b group by doc_id),
 f as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup, template
+from graphloom.llm import chat_format, common, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup, template
 
 DOCS = "doc_id long, text string, source string, _id long, h string, size long, quality string"
 
@@ -224,6 +224,43 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_mix_rates_equal_an_independent_solution(spark):
+    """Targets by filling level for level; rates by bisection on each source's multiplier."""
+    r = random.Random(4)
+    texts = [words(1 + int(r.paretovariate(1.2) * 10) % 400, i) for i in range(300)] + [None, " "]
+    sources = [r.choices(["a", "b", "c", "d", None], [50, 3, 20, 1, 10])[0] for _ in texts]
+    rows = mixing.mix(docs(spark, texts, sources)).collect()
+    size = {i: len((t or "").split()) for i, t in enumerate(texts)}
+    names = sorted({x for x in sources if x is not None}) + [None]
+    total = {s: sum(size[i] for i in size if sources[i] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, free = {}, float(sum(total.values())), list(names)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = [s for s in free if share[s] > 3 * total[s]]
+        for s in full or free:
+            target[s] = 3.0 * total[s] if full else share[s]
+        left -= sum(target[s] for s in full)
+        free = [s for s in free if s not in full] if full else []
+    assert any(target[s] == 3 * total[s] for s in names)
+    for s in names:
+        own = [x for x in rows if sources[x.doc_id] == s]
+        mean = total[s] / len(own)
+        assert all(abs(x.target - target[s]) < 1e-6 * target[s] and x.source_size == total[s] for x in own)
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            got = sum(min(3, np.exp(min(50, mid * size[x.doc_id] / mean))) * size[x.doc_id] for x in own)
+            lo, hi = (lo, mid) if got > target[s] else (mid, hi)
+        assert all(abs(x.rate - (min(3, np.exp(min(50, lo * size[x.doc_id] / mean))) if size[x.doc_id] else 0)) < 2e-3 for x in own)
+        assert abs(sum(x.taken for x in own) - target[s]) <= max(5, 1e-4 * target[s])
+
+
+def test_mix_fails_where_the_dual_has_not_converged(spark):
+    with pytest.raises(RuntimeError, match="converged"):
+        mixing.mix(docs(spark, [words(20 + i, i) for i in range(40)], ["a", "b"] * 20), steps=1)
+
+
 def test_mixed_documents_repeat_and_cut(spark):
     df = docs(spark, [words(50, i) for i in range(12)], ["a", "b", "c"] * 4)
     plan = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
@@ -295,6 +332,13 @@ def test_quality_rules(spark):
     assert not got[1].base_failed
 
 
+def test_stock_phrases_and_headings_in_clean_text_stay(spark):
+    text = "Design in wood\nThe design in the spread more than filled the hall, and we assign in advance what the thread more or less allows.\nPlease sign in at the desk before you go up to the office on the second floor.\nEnd"
+    menu = "Home\nAbout us\nContact"
+    got = [r.quality.clean_text for r in quality_rules.quality(docs(spark, [text, text + "\n\n" + menu, text + "\nClick here to read more", text + "\nAlle Rechte vorbehalten."])).orderBy("doc_id").collect()]
+    assert got == [text, text + "\n", text, text]
+
+
 # --- 7
 def test_template_language():
     render = template.compile_template("{% for m in l %}{% if m.a == 1 or false %}{{ 'x' ~ 'y' }}{% elif not m['a'] %}-{% else %}{{ m.a|upper }}{% endif %}{% endfor %}")
@@ -490,6 +534,9 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark):
     got = {r.lang: (r.doc_id, r.text, r.source, r.n_chars) for r in corpus_pipeline.line_stage(spark, d, "").collect()}
     want = {lang: (i, t if i in (None, 1, 4) else t.replace("\n" + line, ""), s) for i, t, lang, s, _ in rows}
     assert got == {k: (*v, len(v[1])) for k, v in want.items()} and corpus_pipeline.line_stage(spark, d, "").count() == len(rows)
+    # what the quality stage keeps is evaluated once
+    plan = corpus_pipeline.quality_stage(spark, d, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("regexp_extract_all(coalesce") == 1
     # near copies without an id or sharing one leave a single row; all else stays
     kept = corpus_pipeline.join_stage(spark, d, "").collect()
     assert sorted(r.lang for r in kept) == [f"l{k}" for k in range(8)] + ["x"]
@@ -512,7 +559,7 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, d, "").collect()}
     assert kept == dict(enumerate(texts[:-2]))
     lines = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()}
-    assert lines == {i: v[2] for i, v in brute_lines(texts).items()}
+    assert lines == {i: v[2] for i, v in brute_lines(texts).items() if 2 * len(v[2].split()) >= len(texts[i].split())} and len(lines) < len(texts)
     comps = brute_components(texts)
     joined = corpus_pipeline.join_stage(spark, d, "")
     assert {r.doc_id for r in joined.collect()} == {i for i, (_, c) in comps.items() if c == i}
@@ -520,3 +567,26 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.mixing_stage(spark, d, "")
     assert mixed.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.encoding_stage(spark, mixed, "").count() == mixed.count()
+
+
+def test_copies_do_not_reach_the_mix(spark):
+    """Line dedup must not hide copies from the join: documents that it guts go."""
+    body = [[words(14, 50 * k + j) + "." for j in range(8)] for k in range(12)]
+    texts = ["\n".join(b) for b in body]
+    copies = [texts[k] for k in range(4)] + ["\n".join([*body[k][:3], near(body[k][3], k), *body[k][4:]]) for k in range(4, 8)] + [near(texts[k].replace("\n", " "), k) for k in range(8, 12)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + copies)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.line_stage(spark, corpus_pipeline.quality_stage(spark, d, ""), "")
+    joined = {r.doc_id: r.text for r in corpus_pipeline.join_stage(spark, kept, "").collect()}
+    assert joined == dict(enumerate(texts))
+
+
+def test_run_equals_its_stages(spark, tmp_path):
+    d = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(corpus())] + [(None, words(90, 400), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    want = d
+    for _, stage in corpus_pipeline.STAGES:
+        want = common.stored(stage(spark, want, ""), "stage")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and got
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    assert all(stage(spark, empty, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
