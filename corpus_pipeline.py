@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, line_dedup, mixing, quality_rules, sentencepiece_wfst
-from graphloom.llm.common import read, stored
+from graphloom.llm.common import read, stored, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,17 +17,23 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that fail a rule go from the others.  Ids play no part."""
-    kept = quality_rules.quality(docs).filter("quality.kept")
-    return _documents(kept.withColumn("text", F.col("quality.clean_text")))
+    rows = quality_rules.quality(docs).select("doc_id", "lang", "source", F.struct("quality.kept", "quality.clean_text").alias("q"))
+    # A generator between rules and filter: the optimiser would otherwise evaluate the rules for each of the two.
+    rows = rows.select("doc_id", "lang", "source", F.explode(F.array("q")).alias("q")).filter("q.kept")
+    return _documents(rows.withColumn("text", F.col("q.clean_text")))
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that other documents hold go, except where they stand first.
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_kept_pct: int = 50) -> DataFrame:
+    """Lines that other documents hold go, except where they stand first; so do documents that lose more than half of their words.
 
-    One row for each row, with its own columns; a row without an id keeps its lines, rows that repeat an id are alike.
+    What such a document holds stands in others, and a rest of it would hide a copy from the stages behind.  Other rows
+    stay one for one with their own columns, also those without words; a row without an id keeps its lines, rows that
+    repeat an id are alike.
     """
-    lines = line_dedup.dedup_lines(docs, carry=("lang", "source"))
-    return _documents(lines.withColumnRenamed("kept_text", "text"))
+    sized = docs.withColumn("n_words", F.size(words(F.coalesce(F.col("text"), F.lit("")))))
+    lines = line_dedup.dedup_lines(sized, carry=("lang", "source", "n_words"))
+    left = F.when(F.col("n_dropped") == 0, F.col("n_words")).otherwise(F.size(words(F.col("kept_text"))))
+    return _documents(lines.filter(100 * left >= min_kept_pct * F.col("n_words")).withColumnRenamed("kept_text", "text"))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
