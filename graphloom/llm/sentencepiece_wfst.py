@@ -158,7 +158,7 @@ class Normaliser:
 class _Paths(dict):
     """Ids of segments met so far; emptied when it is full."""
 
-    ROOM, LONGEST = 400_000, 64
+    ROOM, LONGEST = 500_000, 64
 
     def __init__(self, path):
         super().__init__()
@@ -223,7 +223,7 @@ class Transducer:
         rest = "(?s:.)+" if inner else (f"{free}|" if free else "") + rf"{MARK}*[^{MARK}{free}]+|{MARK}+"
         self.split = re.compile("(" + "|".join(alone) + ")") if alone else None
         self.cut = re.compile(rest)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int | tuple[str, str], bool] = {}
         self.paths = _Paths(self.path)
 
     def _together(self, left: str, right: str) -> bool:
@@ -240,56 +240,69 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts == [left, right]
 
-    def together(self, left: str, right: str) -> bool:
-        """The order's verdict on a pair, with a bounded memory."""
-        pairs = self.pairs
-        found = pairs.get((left, right))
+    def together(self, left: tuple[int, str, int], right: tuple[int, str, int]) -> bool:
+        """The order's verdict on a pair of arcs, with a bounded memory."""
+        key = (left[0] << 24) + right[0] if left[0] >= 0 and right[0] >= 0 else (left[1], right[1])
+        found = self.pairs.get(key)
         if found is None:
-            if len(pairs) >= 1 << 20:
-                pairs.clear()
-            found = pairs[left, right] = self._together(left, right)
+            if len(self.pairs) >= 1 << 20:
+                self.pairs.clear()
+            found = self.pairs[key] = self._together(left[1], right[1])
         return found
 
     def arcs(self, segment: str, i: int) -> list[tuple[int, str, int]]:
-        """(id, characters read, weight) of pieces and fallback (-1) composed with the segment at position i."""
-        out, node, j = [], self.root, i
-        while j < len(segment) and (node := node.get(segment[j])) is not None:
-            j += 1
-            if (found := node.get("")) is not None:
-                out.append(found)
+        """(id, characters read, weight) of pieces, shortest first, and fallback (-1) composed with the segment at position i."""
+        out, node = [], self.root
+        for j in range(i, len(segment)):
+            node = node.get(segment[j])
+            if node is None:
+                break
+            if "" in node:
+                out.append(node[""])
         if not out or len(out[0][1]) > 1:
-            out.append((-1, segment[i], self.fallback))
+            out.insert(0, (-1, segment[i], self.fallback))
         return out
 
-    def shortest(self, segment: str) -> list[tuple[int, str]]:
-        """(id, characters) along the path of the least weight through the composed machine.
+    def shortest(self, segment: str) -> list[tuple[int, str, int]]:
+        """The arcs along the path of the least weight through the composed machine.
 
-        Of equal weights to a position the one with the longest last piece counts.
+        Of equal weights to a position the one with the longest last piece counts.  Where all weights are 0 or infinity
+        the frontier is a stack, which gives the longest piece at the furthest position first; else it is a heap.
         """
-        n, serial, settled = len(segment), 0, set()
-        heap: list = [(0, 0, 0, 0, (0, "", -1, None))]
-        while heap:
-            weight, _, _, _, state = heapq.heappop(heap)
-            end, piece, _, before = state
-            if end in settled or self.bpe and before is not None and before[1] and not self.together(before[1], piece):
-                continue
+        n, bpe, serial, settled, together = len(segment), self.bpe, 0, set(), self.together
+        weight, state = 0, (0, None, None)
+        frontier: list = []
+        while True:
+            end = state[0]
             settled.add(end)
             if end == n:
                 break
-            for id_, read_, w in self.arcs(segment, end):
-                if end + len(read_) not in settled:
+            for arc in self.arcs(segment, end):
+                to = end + len(arc[1])
+                if to in settled:
+                    continue
+                if bpe:
+                    frontier.append((to, arc, state))
+                else:
                     serial += 1
-                    heapq.heappush(heap, (weight + w, -end - len(read_), end, serial, (end + len(read_), read_, id_, state)))
+                    heapq.heappush(frontier, (weight + arc[2], -to, end, serial, (to, arc, state)))
+            while True:
+                if bpe:
+                    state = frontier.pop()
+                else:
+                    weight, _, _, _, state = heapq.heappop(frontier)
+                if state[0] not in settled and (not bpe or state[2][1] is None or together(state[2][1], state[1])):
+                    break
         path = []
-        while state[3] is not None:
-            path.append((state[2], state[1]))
-            state = state[3]
+        while state[1] is not None:
+            path.append(state[1])
+            state = state[2]
         return path[::-1]
 
     def path(self, segment: str) -> tuple[int, ...]:
         """Ids put out along the shortest path of one segment; unknown characters side by side are one unknown piece."""
         out: list[int] = []
-        for i, piece in self.shortest(segment):
+        for i, piece, _ in self.shortest(segment):
             if i >= 0:
                 out.append(i)
             elif self.byte_ids:
