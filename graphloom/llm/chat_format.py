@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from graphloom.llm.common import read
 from graphloom.llm.template import compile_template
@@ -57,11 +59,13 @@ def format_conversations(turns: DataFrame, template: str = TURNS) -> DataFrame:
 
     ``mask`` holds [start, end) code points within the part that lie under a generation mark.  Turns are
     ordered by turn, then role, then text; equal rows are repeated turns.  Null texts and roles count as empty,
-    a null turn comes first, and rows with a null conv_id are one conversation.  An empty table gives an empty
-    result; other columns are not read.
+    a null turn comes first, and rows with a null conv_id are one conversation.  Ids may be of any type that sorts.
+    An empty table gives an empty result; other columns are not read.  A template that asks for what is not there
+    raises TemplateError.
     """
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()), ("mask", pa.list_(pa.list_(pa.int64())))])
+    kind = turns.schema["conv_id"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), ("part", pa.int64()), ("text", pa.string()), ("mask", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, {"escape": escape, "escape_role": escape_role})
@@ -87,7 +91,7 @@ def format_conversations(turns: DataFrame, template: str = TURNS) -> DataFrame:
         if ready:
             yield _batch(ready, schema)
 
-    return ordered.mapInArrow(run, "conv_id long, part long, text string, mask array<array<long>>")
+    return ordered.mapInArrow(run, StructType([StructField("conv_id", kind), *StructType.fromDDL("part long, text string, mask array<array<long>>")]))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -95,8 +99,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     Text that is no sequence of turns raises ValueError.
     """
+    kind = formatted.schema["conv_id"].dataType
     schema = pa.schema(
-        [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+        [("conv_id", to_arrow_type(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if ready:
             yield _batch(ready, schema)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    counts = StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, StructType([StructField("conv_id", kind), *counts]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

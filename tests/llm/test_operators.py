@@ -344,10 +344,33 @@ def test_template_language():
     render = template.compile_template("{% for m in l %}{% if m.a == 1 or false %}{{ 'x' ~ 'y' }}{% elif not m['a'] %}-{% else %}{{ m.a|upper }}{% endif %}{% endfor %}")
     assert "".join(t for t, _ in render({"l": [{"a": 1}, {"a": None}, {"a": "q"}]})) == "xy-Q"
     assert template.fold_block(template.parse("{{ 'a' ~ 'b' }}c{% if false %}d{% endif %}"), template.FILTERS) == [("text", "abc")]
-    for bad in ("{{ a.__class__() }}", "{% include x %}", "{{ a|nope }}", "{% for x in y %}"):
+    for bad in ("{{ a.__class__() }}", "{% include x %}", "{{ a|nope }}", "{% for x in y %}", "{{ a is nope }}", "{{ a", "{{ 1 + 'a' }}", "{{ 'a'.upper() }}"):
         with pytest.raises(template.TemplateError):
             template.compile_template(bad)
-    assert "".join(t for t, _ in template.compile_template("{{ a.__class__ }}")({"a": "s"})) == ""
+    for bad in ("{{ a.__class__ }}", "{{ b }}", "{{ b.c }}", "{{ a + 1 }}", "{% for x in a %}{% endfor %}", "{{ raise_exception('no') }}", "{{ l[9] }}"):
+        with pytest.raises(template.TemplateError):
+            list(template.compile_template(bad)({"a": "s", "l": []}))
+
+
+def test_published_style_templates():
+    """Each beside what an independent reading of it in plain Python gives."""
+    render = lambda source, **scope: "".join(t for t, _ in template.compile_template(source)(scope))
+    talk = [{"role": "system", "content": " Be brief. "}, {"role": "user", "content": "Hi"}, {"role": "assistant", "content": "Yes }} ok"}, {"role": "user", "content": "Why?"}]
+    chatml = """{%- for message in messages %}{{- '<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n' }}{%- endfor %}
+{%- if add_generation_prompt %}{{- '<|im_start|>assistant\\n' }}{%- endif %}"""
+    want = "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in talk)
+    assert render(chatml, messages=talk, add_generation_prompt=True) == want + "<|im_start|>assistant\n" and render(chatml, messages=talk) == want
+    inst = """{% if messages[0].role == 'system' %}{% set system = messages[0].content|trim %}{% set rest = messages[1:] %}{% else %}{% set rest = messages %}{% endif %}
+{%- for m in rest %}
+  {%- if (m.role == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('roles must alternate') }}{% endif %}
+  {%- if m.role == 'user' %}[INST] {% if loop.first and system is defined %}<<{{ system }}>> {% endif %}{{ m.content }} [/INST]
+  {%- else %} {{ m.content }}{{ '</s>' if not loop.last }}{% endif %}
+{%- endfor %}"""
+    assert render(inst.replace("'</s>' if not loop.last", "'</s>' if not loop.last else ''"), messages=talk) == "[INST] <<Be brief.>> Hi [/INST] Yes }} ok</s>[INST] Why? [/INST]"
+    with pytest.raises(template.TemplateError, match="alternate"):
+        render(inst, messages=talk[2:])
+    tools = """{# names #}{% for t in tools if t.on %}{{ loop.index }}/{{ t.name|upper|replace('A', '4') }}{{ ", " if not loop.last else "." }}{% endfor %}{{ extra|default('none') }}{{ [1, 2]|join('-') }}{{ '}}' }}{{ 7 // 2 - 1 }}{{ -1 }}"""
+    assert render(tools, tools=[{"name": "a", "on": True}, {"name": "b", "on": False}, {"name": "c", "on": True}]) == "1/4, 2/C.none1-2}}2-1"
 
 
 def test_conversations_round_trip(spark, monkeypatch):
