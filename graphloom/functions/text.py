@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 SEP = " [SEP] "
 
 
-def _path(kind: Column, flat: Column) -> Column:
-    p = F.split(kind, "/")
-    return F.when(F.size(p) < 2, flat).when(p[1] == "base", F.concat(F.lit("/base/"), F.coalesce(F.get(p, F.lit(2)), F.lit("")))).otherwise(p[1])
-
-
 def cluster_or_unknown(kind: Column) -> Column:
-    """Cluster of a type as records name it; flat types are "unknown"."""
-    return _path(kind, F.lit("unknown"))
+    """Cluster of a type as records name it: two parts of what begins with /base/, else the part after the first slash, else "unknown"."""
+    p = F.split(kind, "/")
+    return F.when(F.startswith(kind, F.lit("/base/")), F.concat(F.lit("/base/"), p[2])).otherwise(F.coalesce(F.get(p, F.lit(1)), F.lit("unknown")))
 
 
 def cluster(kind: Column) -> Column:
-    """Cluster of a type as the dictionary names it; flat types are their own."""
-    return _path(kind, kind)
+    """Cluster of a type as the dictionary names it: "base" may follow any first part; flat types are their own."""
+    p = F.split(kind, "/")
+    return F.when(F.size(p) < 2, kind).when(p[1] == "base", F.concat(F.lit("/base/"), F.coalesce(F.get(p, F.lit(2)), F.lit("")))).otherwise(p[1])
 
 
 def description(label: Column, text: Column, mode: str = "hybrid") -> Column:

@@ -14,10 +14,22 @@ def neighbours(triples: DataFrame, entities: DataFrame | None = None) -> DataFra
     return (out if entities is None else out.join(entities.select("entity").distinct(), "entity", "left_semi")).distinct()
 
 
-def two_hop_facts(triples: DataFrame, deny: list[str], entities: DataFrame | None = None) -> DataFrame:
+def without_hubs(mids: DataFrame, triples: DataFrame, max_degree: int | None) -> DataFrame:
+    """Rows whose ``mid`` has at most ``max_degree`` edges; all of them if that is None.
+
+    A mid of D neighbours makes D * D two-hop pairs, so a graph with hubs of millions needs a bound, which changes the result.
+    """
+    if max_degree is None:
+        return mids
+    hubs = views.edge_view(triples).groupBy(F.col("entity").alias("mid")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_degree)
+    return mids.join(hubs.select("mid"), "mid", "left_anti")
+
+
+def two_hop_facts(triples: DataFrame, deny: list[str], entities: DataFrame | None = None, max_degree: int | None = None) -> DataFrame:
     """Distinct (entity, relation, other, direction) over any mid; the second relation is not denied."""
     far = views.edge_view(triples, deny).withColumnRenamed("entity", "mid")
-    return neighbours(triples, entities).join(far, "mid").select("entity", "relation", "other", "direction").distinct()
+    near = without_hubs(neighbours(triples, entities), triples, max_degree)
+    return near.join(far, "mid").select("entity", "relation", "other", "direction").distinct()
 
 
 def two_hop_composed(triples: DataFrame, deny: list[str], entities: DataFrame | None = None) -> DataFrame:
@@ -36,10 +48,10 @@ def two_hop_types(triples: DataFrame, types: DataFrame, entities: DataFrame | No
     return neighbours(triples, entities).join(t, "mid").select("entity", "type").distinct()
 
 
-def two_hop_entities(triples: DataFrame) -> DataFrame:
+def two_hop_entities(triples: DataFrame, max_degree: int | None = None) -> DataFrame:
     """Distinct (entity, other) at two hops in any direction, the entity itself included."""
     n = neighbours(triples)
-    return n.join(n.select(F.col("entity").alias("mid"), F.col("mid").alias("other")), "mid").select("entity", "other").distinct()
+    return without_hubs(n, triples, max_degree).join(n.select(F.col("entity").alias("mid"), F.col("mid").alias("other")), "mid").select("entity", "other").distinct()
 
 
 def out_neighbour_types(triples: DataFrame, types: DataFrame) -> DataFrame:

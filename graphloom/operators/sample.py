@@ -83,8 +83,10 @@ def fixed_sample(rows: DataFrame, keys: list[str], k: int, seed: int = 1) -> Dat
     """
     order = [number(F.concat_ws(":", F.lit(str(seed)), "entity", *keys)), *keys] if k > 1 else keys
     w = Window.partitionBy("entity").orderBy(*order)
-    ranked = rows.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("entity")))
-    enough = ranked.filter((F.col("n") >= k) & (F.col("rn") <= k)).withColumn("slot", F.col("rn"))
+    # The rank is cut before the shuffle, so each task sends k rows of an entity at most; the counts combine map-side.
+    ranked = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    ranked = ranked.join(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entity")
+    enough = ranked.filter(F.col("n") >= k).withColumn("slot", F.col("rn"))
     slots = ranked.filter(F.col("n") < k).select("entity", "n").distinct().select("entity", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
     slots = slots.withColumn("rn", (F.floor(draw(seed, "entity", F.col("slot").cast("string")) * F.col("n")) + 1).cast("int")).drop("n")
     again = ranked.filter(F.col("n") < k).join(slots, ["entity", "rn"])

@@ -13,26 +13,55 @@ from graphloom.operators import hops, views
 from graphloom.sources.io import stored
 
 
-def describe(df: DataFrame, column: str, name: str) -> DataFrame:
-    """A5: count, mean, sample deviation, min, quartiles, max of one column as a row called ``name``."""
-    c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q.alias("q"), F.max(c).cast("double").alias("max"))
-    return out.select(F.lit(name).alias("name"), "n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "max")
+def running(cells: DataFrame, keys: list[str], order: str, count: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``count`` over the rows of the same keys that stand before in ``order``, which are unique.
 
-
-def neighbourhood_statistics(triples: DataFrame, types: DataFrame) -> DataFrame:
-    """A5: neighbours, direct types, 2-hop neighbours and neighbour types per entity."""
+    Range partitions and their offsets: no task holds all rows of a key. The broadcast offsets are a row for each key and
+    each border of partitions.
+    """
+    n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(cells.repartitionByRange(n, *keys, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*keys, "_part").agg(F.sum(count).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(offsets), [*keys, "_part"])
+    return out.withColumn(name, F.col("_before") + F.coalesce(F.sum(count).over(within), F.lit(0))).drop("_part", "_before")
+
+
+def quantiles(values: DataFrame, keys: list[str], points: list[float], column: str = "value") -> DataFrame:
+    """(keys, q): array of the exact quantiles of each key at ``points``, interpolated between neighbours; nulls do not count."""
+    cells = values.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(cells, keys, "_v", "_n", "_below")
+    total = placed.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    placed = placed.join(F.broadcast(total), keys)
+    at = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_n")), F.col("_v")))
+    place = lambda p: p * (F.col("_t") - 1)
+    ends = [at(f(place(p))).alias(f"_{n}{k}") for k, p in enumerate(points) for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    q = [F.col(f"_lo{k}") + (place(p) - F.floor(place(p))) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k, p in enumerate(points)]
+    return placed.groupBy(*keys).agg(F.max("_t").alias("_t"), *ends).select(*keys, F.array(*q).alias("q"))
+
+
+def describe(values: DataFrame) -> DataFrame:
+    """A5: count, mean, sample deviation, min, quartiles, max of the (name, value) rows of each name."""
+    x = F.col("value").cast("double")
+    g = values.groupBy("name").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    out = g.join(F.broadcast(quantiles(values, ["name"], [0.25, 0.5, 0.75])), "name", "left")
+    return out.select("name", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "max")
+
+
+def neighbourhood_statistics(triples: DataFrame, types: DataFrame, max_degree: int | None = None) -> DataFrame:
+    """A5: neighbours, direct types, 2-hop neighbours (over mids of ``max_degree`` edges at most) and neighbour types per entity."""
     from graphloom.operators.features import neighbour_counts
 
     count = lambda df: df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    parts = [
-        describe(neighbour_counts(triples), "neighbours", "neighbours"),
-        describe(count(types), "n", "direct types"),
-        describe(count(hops.two_hop_entities(triples)), "n", "two-hop neighbours"),
-        describe(hops.out_neighbour_types(triples, types).groupBy("entity").agg(F.countDistinct("type").alias("n")), "n", "neighbour types"),
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    parts = {
+        "neighbours": neighbour_counts(triples).select(F.col("neighbours").alias("n")),
+        "direct types": count(types),
+        "two-hop neighbours": count(hops.two_hop_entities(triples, max_degree)),
+        "neighbour types": hops.out_neighbour_types(triples, types).groupBy("entity").agg(F.countDistinct("type").alias("n")),
+    }
+    rows = functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name"), F.col("n").alias("value")) for name, df in parts.items()])
+    return describe(stored(rows, "neighbourhoods"))
 
 
 def summary(triples: DataFrame, train: DataFrame, valid: DataFrame, test: DataFrame) -> DataFrame:
@@ -47,6 +76,30 @@ def summary(triples: DataFrame, train: DataFrame, valid: DataFrame, test: DataFr
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+#: Columns of the earlier coherence table and the names they get.
+COHERENCE = {
+    "triple_self_coherence_mean": "kg_sim_mu",
+    "triple_self_coherence_std": "kg_sim_sig",
+    "type_self_coherence_mean": "et_sim_mu",
+    "type_self_coherence_std": "et_sim_sigma",
+}
+
+
+def entity_key() -> Column:
+    """Label and description of an entity as the earlier tables name it; a missing description is empty."""
+    return F.concat(F.col("label"), F.lit(" "), F.coalesce("description", F.lit("")))
+
+
+def clean_coherence(measured: DataFrame, entity_text: DataFrame) -> DataFrame:
+    """(entity, the four coherence columns): texts mapped back to entities, unknown ones kept as they are.
+
+    Of entities with the same text the greatest name counts. Other columns are dropped.
+    """
+    keys = entity_text.groupBy(entity_key().alias("_text")).agg(F.max("entity").alias("_e"))
+    out = measured.join(keys, F.col("entity") == F.col("_text"), "left")
+    return out.select(F.coalesce("_e", "entity").alias("entity"), *[F.col(old).alias(new) for old, new in COHERENCE.items()])
+
+
 def count_table(triples: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
     """Facts as head, train types and test types per entity, missing ones 0."""
     n = lambda df, key, name: df.groupBy(F.col(key).alias("entity")).agg(F.count(F.lit(1)).alias(name))
@@ -69,13 +122,12 @@ def with_rank(features: DataFrame, ranks: DataFrame) -> DataFrame:
     return features.join(mean_rank(ranks), "entity", "left")
 
 
-def rank_by_bin(df: DataFrame, metric: str, value: str = "rank_value", bins: int = 10) -> DataFrame:
-    """Mean of ``value`` per quantile bin of ``metric``: equal edges merged, right ends and the least value included."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = F.array_distinct(F.percentile(metric, points))
-    with_edges = df.filter(F.col(metric).isNotNull()).crossJoin(F.broadcast(df.agg(edges.alias("_e"))))
-    inside = F.greatest(F.size(F.filter("_e", lambda x: x < F.col(metric))), F.lit(1))
-    return with_edges.groupBy(F.lit(metric).alias("metric"), inside.alias("bin")).agg(F.avg(value).alias("mean_rank"), F.count(F.lit(1)).alias("n"))
+def rank_by_bin(df: DataFrame, metrics: list[str], value: str = "rank_value", bins: int = 10) -> DataFrame:
+    """Mean of ``value`` per quantile bin of each metric: equal edges merged, right ends and the least value included."""
+    rows = long_form(df.withColumnRenamed(value, "_y"), metrics, ["_y"]).withColumnRenamed("value", "_x").filter("_x is not null")
+    edges = quantiles(rows, ["metric"], [i / bins for i in range(bins + 1)], "_x").select("metric", F.array_distinct("q").alias("_e"))
+    inside = F.greatest(F.size(F.filter("_e", lambda x: x < F.col("_x"))), F.lit(1))
+    return rows.join(F.broadcast(edges), "metric").groupBy("metric", inside.alias("bin")).agg(F.avg("_y").alias("mean_rank"), F.count(F.lit(1)).alias("n"))
 
 
 def long_form(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
@@ -93,15 +145,15 @@ def scale(df: DataFrame, metrics: list[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
-def class_summary(df: DataFrame, metrics: list[str], median: bool = False) -> DataFrame:
-    """Per metric, the mean (or median) by y for all rows and for the low and high degree strata."""
+def class_summary(df: DataFrame, metrics: list[str], median: bool = False, low: int = 15, high: int = 135) -> DataFrame:
+    """Per metric, the mean (or median) by y for all rows and for the strata of degrees below ``low`` and above ``high``."""
     v = long_form(df, metrics, ["y", "degree"])
-    columns = []
-    for name, cond in (("all", F.lit(True)), ("low", F.col("degree") < 15), ("high", F.col("degree") > 135)):
-        for y in (0, 1):
-            x = F.when(cond & (F.col("y") == y), F.col("value"))
-            columns.append((F.percentile(x, F.lit(0.5)) if median else F.avg(x)).alias(f"{name}_{y}"))
-    return v.groupBy("metric").agg(*columns)
+    strata = {"all": F.lit(True), "low": F.col("degree") < low, "high": F.col("degree") > high}
+    cells = {f"{name}_{y}": F.when(cond & (F.col("y") == y), F.col("value")) for name, cond in strata.items() for y in (0, 1)}
+    if not median:
+        return v.groupBy("metric").agg(*[F.avg(x).alias(n) for n, x in cells.items()])
+    q = quantiles(v.select("metric", *[x.alias(n) for n, x in cells.items()]).unpivot(["metric"], list(cells), "cell", "value"), ["metric", "cell"], [0.5])
+    return q.groupBy("metric").agg(*[F.max(F.when(F.col("cell") == n, F.col("q")[0])).alias(n) for n in cells])
 
 
 def skewness(df: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFrame:
@@ -136,13 +188,7 @@ def mann_whitney(df: DataFrame, metrics: list[str], partitions: int | None = Non
     """
     v = long_form(df, metrics, ["y"]).filter("value is not null and y is not null")
     cells = v.groupBy("metric", "value").agg(F.sum((F.col("y") == 0).cast("long")).alias("n0"), F.sum((F.col("y") == 1).cast("long")).alias("n1"))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(cells.repartitionByRange(n, "metric", "value").withColumn("part", F.spark_partition_id()), "mann-whitney")
-    before = Window.partitionBy("metric").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("metric", "part").agg(F.sum("n0").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    within = Window.partitionBy("metric", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("before") + F.coalesce(F.sum("n0").over(within), F.lit(0))
-    each = ranged.join(F.broadcast(offsets), ["metric", "part"]).withColumn("below", below)
+    each = running(cells, ["metric"], "value", "n0", "below", partitions)
     t = (F.col("n0") + F.col("n1")).cast("double")
     g = each.groupBy("metric").agg(
         F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)).alias("u"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(t * t * t - t).alias("ties")
@@ -167,15 +213,24 @@ def erfc(x: Column) -> Column:
     return F.when(x >= 0, y).otherwise(2 - y)
 
 
-def logistic(df: DataFrame, metrics: list[str], label: str = "y") -> DataFrame:
-    """Coefficient, standard error and p of a logistic regression with intercept."""
+def logistic(df: DataFrame, metrics: list[str], label: str = "y", strata: dict[str, Column] | None = None) -> DataFrame:
+    """(stratum, term, coefficient, error, p) of a logistic regression with intercept for each stratum; "all" if none is named.
+
+    Runs jobs: one fit a stratum. A stratum without both labels has no rows in the result.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     rows = VectorAssembler(inputCols=metrics, outputCol="_features", handleInvalid="skip").transform(df.withColumn(label, F.col(label).cast("double")))
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_features", labelCol=label).fit(rows)
-    values = list(zip([*metrics, "intercept"], [*model.coefficients.tolist(), model.intercept], model.summary.coefficientStandardErrors, model.summary.pValues, strict=True))
-    return df.sparkSession.createDataFrame([(n, float(c), float(s), float(p)) for n, c, s, p in values], "term string, coefficient double, error double, p double")
+    found = []
+    for name, condition in (strata or {"all": F.lit(True)}).items():
+        some = rows.filter(condition)
+        if some.select(label).distinct().limit(2).count() < 2:
+            continue
+        model = GeneralizedLinearRegression(family="binomial", featuresCol="_features", labelCol=label).fit(some)
+        terms = zip([*metrics, "intercept"], [*model.coefficients.tolist(), model.intercept], model.summary.coefficientStandardErrors, model.summary.pValues, strict=True)
+        found += [(name, n, float(c), float(s), float(p)) for n, c, s, p in terms]
+    return df.sparkSession.createDataFrame(found, "stratum string, term string, coefficient double, error double, p double")
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
@@ -189,7 +244,7 @@ def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
 def box_numbers(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Quartiles and whiskers (last values within 1.5 interquartile ranges) of scaled metrics by y."""
     v = long_form(scale(df, metrics), metrics, ["y"]).filter("value is not null")
-    q = v.groupBy("metric", "y").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(v, ["metric", "y"], [0.25, 0.5, 0.75])
     q = q.select("metric", "y", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.when(F.col("value") >= F.col("q1") - reach, F.col("value")), F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import SEP
+from graphloom.sources.io import stored
 
 
 def drop_self_loops(triples: DataFrame) -> DataFrame:
@@ -48,19 +49,20 @@ def typed_in_graph(types: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def low_degree(degrees: DataFrame, q: float = 0.1) -> DataFrame:
-    """Both degrees at most their quantile."""
-    k, e = _quantiles(degrees, q)
-    return degrees.crossJoin(F.broadcast(degrees.agg(k.alias("_k"), e.alias("_e")))).filter("kg_degree <= _k and et_degree <= _e").drop("_k", "_e")
+    """Both degrees at most their quantile. Stores the degrees, which are read twice."""
+    degrees = stored(degrees, "degrees")
+    return degrees.crossJoin(F.broadcast(_quantiles(degrees, q))).filter("kg_degree <= _k and et_degree <= _e").drop("_k", "_e")
 
 
 def high_degree(degrees: DataFrame, q: float = 0.8) -> DataFrame:
-    """Both degrees above their quantile."""
-    k, e = _quantiles(degrees, q)
-    return degrees.crossJoin(F.broadcast(degrees.agg(k.alias("_k"), e.alias("_e")))).filter("kg_degree > _k and et_degree > _e").drop("_k", "_e")
+    """Both degrees above their quantile. Stores the degrees, which are read twice."""
+    degrees = stored(degrees, "degrees")
+    return degrees.crossJoin(F.broadcast(_quantiles(degrees, q))).filter("kg_degree > _k and et_degree > _e").drop("_k", "_e")
 
 
-def _quantiles(degrees: DataFrame, q: float) -> tuple[Column, Column]:
-    return F.percentile("kg_degree", F.lit(q)), F.percentile("et_degree", F.lit(q))
+def _quantiles(degrees: DataFrame, q: float) -> DataFrame:
+    """Degrees are whole numbers of few values, which is all that an exact percentile holds."""
+    return degrees.agg(F.percentile("kg_degree", F.lit(q)).alias("_k"), F.percentile("et_degree", F.lit(q)).alias("_e"))
 
 
 def in_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:

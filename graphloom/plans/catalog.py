@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vectors
-from graphloom.operators import hops, sample, stats, views
+from graphloom.operators import datasets, hops, sample, stats, views
 from graphloom.sources import io
 from graphloom.testkg import DENY, KG, num, sql
 
@@ -248,27 +248,56 @@ def _(kg):
     return views.without_types(kg.train, kg.train.filter("type like '/base/%'"))
 
 
-SAMPLED = "smp as (select * from triples where ('0x' || substr(md5(head), 1, 8))::BIGINT % 3 = 0), sun as (select head as entity from smp union select tail from smp), strain as (select t.* from train t where entity in (select entity from sun))"
+def key(seed: int, *columns: str) -> str:
+    """The hash that orders samples."""
+    return num(" || ':' || ".join([f"'{seed}'", *columns]))
+
+
+HUBS, RANDOM = 400, 800
+SEEDS = f"""hubs as (select head as entity, count(distinct tail) as out_degree from triples group by 1 order by 2 desc, 1 limit {HUBS}),
+others as (select entity from (select distinct head as entity from triples) order by {key(1, "entity")}, entity limit {RANDOM}),
+seeds as (select entity, row_number() over (order by entity) - 1 as no from (select entity from hubs union select entity from others))"""
+
+
+def walk(length: int = 7, restart: float = 0.7, seed: int = 1) -> str:
+    """Unrolled steps with the same hashes."""
+    u = lambda step, what: f"(({key(seed, 'walker', chr(39) + str(step) + chr(39), chr(39) + what + chr(39))} + 0.5) / 4294967296.0)"
+    steps = ["step0 as (select entity as walker, entity as pos from seeds)"]
+    for i in range(1, length + 1):
+        steps.append(f"""step{i} as (
+  select walker, e.tail as pos from step{i - 1} s join adj e on e.head = s.pos and e.i = floor({u(i, "edge")} * e.deg) where {u(i, "restart")} >= {restart}
+  union all select walker, d.entity from step{i - 1} s join seeds d on d.no = floor({u(i, "seed")} * (select count(*) from seeds)) where {u(i, "restart")} < {restart})""")
+    every = " union ".join(f"select pos as entity from step{i}" for i in range(length + 1))
+    adj = "adj as (select head, tail, row_number() over (partition by head order by tail) - 1 as i, count(*) over (partition by head) as deg from (select distinct head, tail from triples))"
+    return f"{SEEDS}, {adj}, {', '.join(steps)}, walked as ({every})"
+
+
+#: The sampled graph, its nodes and their types.
+SAMPLED = f"""{walk()}, smp as (select head, max(relation) as relation, tail from triples where head in (select entity from walked) and tail in (select entity from walked) group by head, tail),
+sun as (select head as entity from smp union select tail from smp), strain as (select t.* from train t where entity in (select entity from sun))"""
 
 
 def _sampled(kg):
-    return kg.triples.filter(vectors.number(F.col("head")) % 3 == 0)
+    return io.stored(datasets.sampled_graph(kg.triples, HUBS, RANDOM), "sampled")
 
 
 @query("J10_held_out_types", f"with {SAMPLED} select v.* from valid v where entity in (select entity from sun) and type in (select type from strain)")
 def _(kg):
-    u = views.universe(_sampled(kg))
+    u = io.stored(views.universe(_sampled(kg)), "sampled-nodes")
     return views.held_out_types(kg.split("valid"), kg.train.join(u, "entity", "left_semi"), u)
 
 
-@query("J11_used_text", f"with {SAMPLED} select r.* from rtxt r where relation in (select relation from smp)")
+@query("J11_used_text", f"with {SAMPLED} select 'relation' as kind, r.relation as name, text from rtxt r where relation in (select relation from smp) union all select 'type', type, text from ttxt where type in (select type from strain)")
 def _(kg):
-    return views.used_text(kg.relation_text, _sampled(kg), "relation")
+    graph = _sampled(kg)
+    kinds = kg.train.join(views.universe(graph), "entity", "left_semi")
+    relations = views.used_text(kg.relation_text, graph, "relation").select(F.lit("relation").alias("kind"), F.col("relation").alias("name"), "text")
+    return relations.unionByName(views.used_text(kg.type_text, kinds, "type").select(F.lit("type").alias("kind"), F.col("type").alias("name"), "text"))
 
 
 @query("J12_induced", f"with {SAMPLED} select * from triples where head in (select entity from sun) and tail in (select entity from sun)")
 def _(kg):
-    return views.induced(kg.triples, views.universe(_sampled(kg)))
+    return views.induced(kg.triples, io.stored(views.universe(_sampled(kg)), "sampled-nodes"))
 
 
 @query("J13_collapse", "select head, max(relation) as relation, tail from triples group by head, tail")
@@ -295,12 +324,12 @@ def _(kg):
 
 @query(
     "J17_text_to_entity",
-    "select coalesce(t.entity, d.text) as entity, length(d.text) as n from (select distinct text from edesc union select 'no such text') d left join (select concat_ws(' ', label, description) as text, min(entity) as entity from etxt group by 1) t using (text)",
+    "select coalesce(t.entity, d.text) as entity, m as kg_sim_mu, m + 1 as kg_sim_sig, m + 2 as et_sim_mu, m + 3 as et_sim_sigma from (select text, length(text)::double as m from (select distinct label || ' ' || coalesce(description, '') as text from etxt union select 'no such text')) d left join (select label || ' ' || coalesce(description, '') as text, max(entity) as entity from etxt group by 1) t using (text)",
 )
 def _(kg):
-    texts = kg.entity_desc.select("text").distinct().unionByName(kg.spark.range(1).select(F.lit("no such text").alias("text")))
-    keys = kg.entity_text.groupBy(F.concat_ws(" ", "label", "description").alias("text")).agg(F.min("entity").alias("entity"))
-    return texts.join(keys, "text", "left").select(F.coalesce("entity", "text").alias("entity"), F.length("text").cast("long").alias("n"))
+    texts = kg.entity_text.select(stats.entity_key().alias("entity")).distinct().unionByName(kg.spark.range(1).select(F.lit("no such text").alias("entity")))
+    measured = texts.select("entity", *[(F.length("entity") + float(i)).alias(n) for i, n in enumerate(stats.COHERENCE)], F.lit(0).alias("unused"))
+    return stats.clean_coherence(measured, kg.entity_text)
 
 
 @query("J19_label_or_id", "select coalesce(a.label, head) as head, relation, coalesce(b.label, tail) as tail from triples left join etxt a on a.entity = head left join etxt b on b.entity = tail")
@@ -337,8 +366,8 @@ def _(kg):
 
 
 # --- strings and math -------------------------------------------------------------------------------------------------
-C1 = "case when len(string_split(type, '/')) < 2 then 'unknown' when string_split(type, '/')[2] = 'base' then '/base/' || string_split(type, '/')[3] else string_split(type, '/')[2] end"
-C2 = C1.replace("'unknown'", "type")
+C1 = "case when starts_with(type, '/base/') then '/base/' || string_split(type, '/')[3] when len(string_split(type, '/')) > 1 then string_split(type, '/')[2] else 'unknown' end"
+C2 = "case when len(string_split(type, '/')) < 2 then type when string_split(type, '/')[2] = 'base' then '/base/' || string_split(type, '/')[3] else string_split(type, '/')[2] end"
 
 
 @query("C1_cluster_of_record", f"select entity, type, {C1} as cluster from types")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors
-from graphloom.functions.text import relation_text
-from graphloom.operators import augment, features, hops, sample, select, stats, views
-from graphloom.plans.catalog import ARC, COMPOSED, COUNTS, HOP2, RANKS, _degrees, _ranks, query, r6
+from graphloom.operators import augment, datasets, features, hops, sample, select, stats, views
+from graphloom.plans.catalog import ARC, C2, COMPOSED, COUNTS, HOP2, RANKS, _degrees, _ranks, query, r6
+from graphloom.plans.catalog_records import long_rows, record_ctes
+from graphloom.sources import io
 from graphloom.testkg import DENY, num
 
 
@@ -69,8 +70,10 @@ def _(kg):
 
 @query("A6_quantiles", "select q, case q when 0.1 then lk when 0.8 then hk else quantile_cont(kg_degree, 0.9) end::double as kg_degree, case q when 0.1 then le when 0.8 then he else quantile_cont(et_degree, 0.9) end::double as et_degree from deg, quant, (select unnest([0.1, 0.8, 0.9])::double as q) group by q, lk, le, hk, he")
 def _(kg):
-    one = lambda q: _degrees(kg).agg(F.lit(q).alias("q"), F.percentile("kg_degree", F.lit(q)).alias("kg_degree"), F.percentile("et_degree", F.lit(q)).alias("et_degree"))
-    return one(0.1).unionByName(one(0.8)).unionByName(one(0.9))
+    points = [0.1, 0.8, 0.9]
+    q = _degrees(kg).agg(*[F.percentile(c, F.array(*map(F.lit, points))).alias(c) for c in ("kg_degree", "et_degree")])
+    both = F.arrays_zip(F.array(*map(F.lit, points)).alias("q"), "kg_degree", "et_degree")
+    return q.select(F.inline(both))
 
 
 @query(
@@ -128,25 +131,26 @@ def _(kg):
     return rank_shares(_ranks(kg)).select("threshold", r6("share"))
 
 
-_RANKED = f"{RANKS}, ranked as (select d.entity, kg_degree::double as kg_degree, et_degree::double as et_degree, r as rank_value from deg d join (select entity, avg(rank) as r from ranks group by 1) using (entity))"
+_LENGTHS = "len_ as (select entity, avg(n) as a from (select entity, length(sentence) as n from fs union all select entity, length(sentence) from ts) group by 1)"
+_RANKED = f"{RANKS}, {_LENGTHS}, ranked as (select d.entity, kg_degree::double as kg_degree, et_degree::double as et_degree, a as avg_txt_length, r as rank_value from deg d join len_ using (entity) join (select entity, avg(rank) as r from ranks group by 1) using (entity))"
 
 
 def _ranked(kg):
-    return stats.with_rank(_degrees(kg), _ranks(kg)).na.drop(subset=["rank_value"])
+    rows = _degrees(kg).join(features.text_length(_facts(kg), _typed(kg)), "entity")
+    return stats.with_rank(rows, _ranks(kg)).na.drop(subset=["rank_value"])
 
 
 @query(
     "A15_rank_by_bin",
-    f"with {_RANKED}, m as (select 'kg_degree' as metric, kg_degree as x, rank_value from ranked union all select 'et_degree', et_degree, rank_value from ranked), e as (select metric, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as e from m group by 1) "
+    f"with {_RANKED}, m as (select 'kg_degree' as metric, kg_degree as x, rank_value from ranked union all select 'et_degree', et_degree, rank_value from ranked union all select 'avg_txt_length', avg_txt_length, rank_value from ranked), e as (select metric, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) as e from m group by 1) "
     "select metric, greatest(len(list_filter(e, lambda y: y < x)), 1)::int as bin, round(avg(rank_value), 6) as mean_rank, count(*) as n from m join e using (metric) group by 1, 2",
 )
 def _(kg):
-    d = _ranked(kg)
-    out = stats.rank_by_bin(d, "kg_degree").unionByName(stats.rank_by_bin(d, "et_degree"))
+    out = stats.rank_by_bin(_ranked(kg), ["kg_degree", "et_degree", "avg_txt_length"])
     return out.select("metric", "bin", r6("mean_rank"), "n")
 
 
-_Y = f"{_RANKED}, ys as (select entity, kg_degree, et_degree, kg_degree + et_degree as degree, ({num('entity')} % 3 = 0)::int as y from deg)"
+_Y = f"ys as (select entity, kg_degree, et_degree, kg_degree + et_degree as degree, ({num('entity')} % 3 = 0)::int as y from deg)"
 
 
 def _outcome(kg):
@@ -159,12 +163,15 @@ _WHEN = {"all": "true", "low": "degree < 15", "high": "degree > 135"}
 @query(
     "A16_class_summary",
     f"with {_Y}, l as (select 'kg_degree' as metric, kg_degree as v, degree, y from ys union all select 'et_degree', et_degree, degree, y from ys) select metric, "
-    + ", ".join(f"round(avg(case when {c} and y = {y} then v end), 6) as {n}_{y}" for n, c in _WHEN.items() for y in (0, 1))
-    + " from l group by metric",
+    + ", ".join(f"round({a}, 6) as {n}_{y}" for n, c in _WHEN.items() for y in (0, 1) for a in [f"avg(case when {c} and y = {y} then v end)"])
+    + ", 'mean' as of from l group by metric union all select metric, "
+    + ", ".join(f"round(quantile_cont(case when {c} and y = {y} then v end, 0.5), 6)" for c in _WHEN.values() for y in (0, 1))
+    + ", 'median' from l group by metric",
 )
 def _(kg):
-    out = stats.class_summary(_outcome(kg), ["kg_degree", "et_degree"])
-    return out.select("metric", *[r6(c) for c in out.columns[1:]])
+    make = lambda median: stats.class_summary(_outcome(kg), ["kg_degree", "et_degree"], median).withColumn("of", F.lit("median" if median else "mean"))
+    out = make(False).unionByName(make(True))
+    return out.select("metric", "of", *[r6(c) for c in out.columns if c not in ("metric", "of")])
 
 
 _MOMENTS = """m as (select metric, count(*)::double as n, avg(v) as mu from l group by metric),
@@ -192,16 +199,19 @@ def _(kg):
 @query(
     "A18_mann_whitney",
     f"with {_Y}, l as (select 'kg_degree' as metric, kg_degree as v, y from ys union all select 'et_degree', et_degree, y from ys), "
-    "g as (select metric, v, y, count(*) as n from l group by 1, 2, 3) "
-    "select a.metric, sum(a.n * b.n * case when a.v > b.v then 1.0 when a.v = b.v then 0.5 else 0 end)::double as u, (select count(*) from ys where y = 0) as n0, (select count(*) from ys where y = 1) as n1 from g a join g b on a.metric = b.metric and a.y = 1 and b.y = 0 group by a.metric",
+    "g as (select metric, v, y, count(*) as n from l group by 1, 2, 3), "
+    "u as (select a.metric, sum(a.n * b.n * case when a.v > b.v then 1.0 when a.v = b.v then 0.5 else 0 end)::double as u, (select count(*) from ys where y = 0) as n0, (select count(*) from ys where y = 1) as n1 from g a join g b on a.metric = b.metric and a.y = 1 and b.y = 0 group by a.metric), "
+    "t as (select metric, sum(n ** 3 - n)::double as t from (select metric, v, sum(n)::double as n from g group by 1, 2) group by 1) "
+    "select metric, u, n0, n1, round((abs(u - n0 * n1 / 2.0) - 0.5) / sqrt(n0 * n1 / 12.0 * (n0 + n1 + 1 - t / ((n0 + n1) * (n0 + n1 - 1.0)))), 6) as z from u join t using (metric)",
 )
 def _(kg):
-    return stats.mann_whitney(_outcome(kg), ["kg_degree", "et_degree"]).select("metric", F.col("u").cast("double").alias("u"), "n0", "n1")
+    return stats.mann_whitney(_outcome(kg), ["kg_degree", "et_degree"]).select("metric", F.col("u").cast("double").alias("u"), "n0", "n1", r6("z"))
 
 
 @query("A19_logistic", None)
 def _(kg):
-    return stats.logistic(_outcome(kg), ["kg_degree", "et_degree"]).select("term", *[r6(c) for c in ("coefficient", "error", "p")])
+    strata = {"all": F.lit(True), "low": F.col("degree") < 15, "high": F.col("degree") > 135}
+    return stats.logistic(io.stored(_outcome(kg), "outcome"), ["kg_degree", "et_degree"], strata=strata).select("stratum", "term", *[r6(c) for c in ("coefficient", "error", "p")])
 
 
 _EVIDENCE = f"ev3 as (select entity, type, (({num('''entity || '|' || type || '|' || k''')} % 2001) - 1000) / 500.0 as s from test, (select unnest(range(4)) as k))"
@@ -255,9 +265,15 @@ _LEAST = """sims as (select a.entity, a.relation, a.other, a.direction, round(av
 least_ as (select *, row_number() over (partition by entity order by sim, relation, other, direction) as rn from sims)"""
 
 
-@query("A22_noise_frequency", f"with {_LEAST} select relation, count(*) as frequency from least_ where rn <= 5 and n > 1 group by relation")
+_LEASTT = """simst as (select a.entity, a.type, round(avg(list_cosine_similarity(a.v, b.v)), 9) as sim, count(*) as n from tv a join tv b on a.entity = b.entity group by a.rid, a.entity, a.type),
+leastt_ as (select *, row_number() over (partition by entity order by sim, type) as rn from simst)"""
+
+
+@query("A22_noise_frequency", f"with {_LEAST}, {_LEASTT} select 'relation' as kind, relation as name, count(*) as frequency from least_ where rn <= 5 and n > 1 group by relation union all select 'type', type, count(*) from leastt_ where rn <= 5 and n > 1 group by type")
 def _(kg):
-    return features.noise_frequency(kg.vectors(_facts(kg)), "relation", ["relation", "other", "direction"])
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"), "frequency")
+    relations = features.noise_frequency(kg.vectors(_facts(kg)), "relation", ["relation", "other", "direction"])
+    return named("relation", relations).unionByName(named("type", features.noise_frequency(kg.vectors(_typed(kg)), "type", ["type"])))
 
 
 @query(
@@ -407,20 +423,44 @@ def _(kg):
     return augment.arcs_to_triples(views.edge_view(kg.triples))
 
 
-@query(
-    "G4_full",
-    f"with {_NEAR}, {_FARV}, {_BUDGET}, {_CHOSEN}, {_suppress_sql()} select a.* from (select * from triples union all {_BACK} arcs) a anti join ({_BACK} gonef) g using (head, relation, tail)",
-)
+def _splits(kg):
+    return kg.triples, kg.train, kg.split("valid"), kg.split("test")
+
+
+_NEWTYPES = "g4t as (select a.* from (select * from train union all select entity, type from newtypes) a anti join gonet using (entity, type)), known2 as (select * from train union all select * from valid), g4k as (select * from g4t union all select * from valid)"
+_TESTED = "select distinct entity from test"
+
+
+def _rewritten_sql(facts: str | None = None) -> str:
+    """CTEs of the rewritten graph, its types and both kinds of record lines; ``facts`` instead of the graph's own."""
+    graph = "triples" if facts else "g4"
+    more = {"facts": facts} if facts else {}
+    return (
+        f"{_suppress_sql()}, g4 as (select a.* from (select * from triples union all {_BACK} arcs) a anti join ({_BACK} gonef) g using (head, relation, tail)), {_NEWTYPES}, "
+        f"{record_ctes(graph, 'g4k', **more, p='a')}, {record_ctes(graph, 'g4k', **more, who=_TESTED, p='b')}"
+    )
+
+
+_LINES = "select 'types' as part, entity as a, type as b, null as c from g4t union all select 'records', 'train', entity, line from alines union all select 'records', 'test', entity, line from blines"
+
+
+@query("G4_full", f"with {_NEAR}, {_FARV}, {_BUDGET}, {_CHOSEN}, {_rewritten_sql()} {_LINES} union all select 'triples', head, relation, tail from g4")
 def _(kg):
-    return augment.full(kg.triples, _augmented(kg)[0], _suppressed(kg)[0])
+    return long_rows(datasets.full(*_splits(kg), _augmented(kg), _suppressed(kg)))
+
+
+_MARKED = "select entity, case direction when 'inv' then 'inv-' || relation else relation end as name, other as tail from"
 
 
 @query(
     "G5_selective",
-    f"with {_NEAR}, {_FARV}, {_BUDGET}, {_CHOSEN}, {_suppress_sql()} select e.* from ev e anti join gonef g using (entity, relation, other, direction) union all select entity, relation, other, direction from arcs",
+    f"with {_NEAR}, {_FARV}, {_BUDGET}, {_CHOSEN}, {_rewritten_sql(f'{_MARKED} (select * from ev anti join gonef using (entity, relation, other, direction) where entity <> other) union all {_MARKED} arcs')} {_LINES} "
+    "union all select 'edges', entity, relation || ' ' || direction, other from ev e anti join gonef g using (entity, relation, other, direction) union all select 'edges', entity, relation || ' ' || direction, other from arcs",
 )
 def _(kg):
-    return augment.selective(views.edge_view(kg.triples), _augmented(kg)[0], _suppressed(kg)[0])
+    out = datasets.selective(*_splits(kg), _augmented(kg), _suppressed(kg))
+    edges = out["edges"].select("entity", F.concat_ws(" ", "relation", "direction").alias("relation"), "other")
+    return long_rows(out | {"edges": edges})
 
 
 @query("W11_append_names", f"with {COMPOSED}, old as (select distinct relation as name from triples), new as (select distinct relation as name from composed join low using (entity)) select name, row_number() over (order by name) - 1 as id from old union all select name, (select count(*) from old) + row_number() over (order by name) - 1 from new")
@@ -434,30 +474,37 @@ _COMPOSEDV = f"""{COMPOSED}, cv as (select c.entity, c.relation, c.other, c.dire
   from composed c join low using (entity) join rtxt a on a.relation = r1 join rtxt b on b.relation = r2 join edesc d on d.entity = c.other) c
   join emb on vec_id = {num("sentence")} % (select n from cnt)),
 simf as (select f.entity, f.relation, f.other, f.direction, round(avg(list_cosine_similarity(f.v, n.v)), 9) as sim from cv f join near n on n.entity = f.entity group by 1, 2, 3, 4),
-simt as (select null as entity, null as type, 0 as sim where false)"""
+{_FARV[_FARV.index("kinds2 as"):]}"""
 
 
-@query("G6_concat", f"with {_NEAR}, {_COMPOSEDV}, {_BUDGET}, {_CHOSEN} select entity, relation, other, direction, trim(replace(relation, '/', ' ')) as text from arcs")
+@query(
+    "G6_concat",
+    f"with {_NEAR}, {_COMPOSEDV}, {_BUDGET}, {_CHOSEN}, {_rewritten_sql()}, olds as (select relation, row_number() over (order by relation) - 1 as id from (select distinct relation from triples)), "
+    "names as (select * from olds union all select relation, (select count(*) from olds) + row_number() over (order by relation) - 1 from (select distinct relation from arcs where relation not in (select relation from olds))) "
+    f"{_LINES} union all select 'triples', head, relation, tail from g4 union all select 'relations', relation, id::varchar, null from names union all select 'relation_text', relation, trim(replace(relation, '/', ' ')), null from names",
+)
 def _(kg):
-    arcs = _augmented(kg, concat=True)[0]
-    return arcs.select(*ARC).withColumn("text", relation_text(F.col("relation")))
+    old = sample.dense_ids(views.in_use(kg.triples, "relation"), "relation")
+    return long_rows(datasets.concat(*_splits(kg), _augmented(kg, concat=True), _suppressed(kg), old))
+
+
+_ARCHIVE = """budget as (select entity, k, t, (round_even(lk * (1 - k / (lk + 1)), 0) + 2)::bigint as n_rel, (round_even(le * 2 * (1 - t / (le + 1)), 0) + 2)::bigint as n_type from kt, quant)"""
 
 
 @query(
     "G12_direct",
-    f"with high2 as (select entity from deg where kg_degree > (select quantile_cont(kg_degree, 0.9) from deg) and et_degree >= (select quantile_cont(et_degree, 0.9) from deg)), {_suppress_sql(0.1).replace('join high using', 'join high2 using')} {_BACK} gonef",
+    f"with {_NEAR}, {_FARV}, {_BUDGET[: _BUDGET.index('budget as')]}{_ARCHIVE}, {_CHOSEN}, high2 as (select entity from deg where kg_degree > (select quantile_cont(kg_degree, 0.9) from deg) and et_degree > (select quantile_cont(et_degree, 0.9) from deg)), {_suppress_sql(0.1).replace('join high using', 'join high2 using')} "
+    f"select 'triples' as part, t.head as a, t.relation as b, t.tail as c from triples t anti join ({_BACK} gonef) g using (head, relation, tail) union all select 'types', t.entity, t.type, null from train t anti join gonet using (entity, type) "
+    f"union all select 'added_triples', * from ({_BACK} arcs) union all select 'added_types', entity, type, null from newtypes",
 )
 def _(kg):
-    d = _degrees(kg)
-    q = d.agg(F.percentile("kg_degree", F.lit(0.9)).alias("k"), F.percentile("et_degree", F.lit(0.9)).alias("e"))
-    high = d.crossJoin(F.broadcast(q)).filter("kg_degree > k and et_degree >= e").select("entity")
-    facts = kg.vectors(_facts(kg).join(high, "entity", "left_semi"))
-    return augment.arcs_to_triples(features.least_coherent(facts, ["relation", "other", "direction"], 0.1))
+    added = augment.augment(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, DENY, budgets=select.budgets_archive)
+    return long_rows(datasets.direct(kg.triples, kg.train, added, _suppressed(kg, q=0.9, fraction=0.1)))
 
 
 @query(
     "G13_feature_table",
-    f"with {PAIRS}, len_ as (select entity, avg(n) as a from (select entity, length(sentence) as n from fs union all select entity, length(sentence) from ts) group by 1) "
+    f"with {PAIRS}, {_LENGTHS} "
     "select d.entity, round(coalesce(kpair.m, 0.5), 6) as kg_sim_mu, round(coalesce(tpair.m, 0.5), 6) as et_sim_mu, kg_degree + et_degree as degree, round(a, 6) as avg_txt_length, kg_degree, et_degree, round(et_degree / kg_degree::double, 6) as type_kg_ratio from deg d left join kpair using (entity) left join tpair using (entity) join len_ using (entity)",
 )
 def _(kg):
@@ -472,7 +519,10 @@ def _(kg):
 
 @query(
     "G15_ego_network",
-    "with c as (select distinct entity as centre from test), e as (select head as centre, tail as node, 1 as r from triples join c on c.centre = head union all select entity, type, 2 from train join c on c.centre = entity union all select entity, type, 3 from test union all select centre, centre, 0 from c) select centre, node, ['centre', 'neighbour', 'known type', 'missing type'][min(r) + 1] as role from e group by 1, 2",
+    "with c as (select distinct entity as centre from test), e as (select head as centre, relation, tail as node, 1 as r from triples join c on c.centre = head union all select entity, 'has_type', type, 2 from train join c on c.centre = entity union all select entity, 'has_type', type, 3 from test), "
+    "n as (select centre, node, r from e union all select centre, centre, 0 from c) select 'node' as part, centre, node, ['centre', 'neighbour', 'known type', 'missing type'][min(r) + 1] as role from n group by 2, 3 union all select 'edge', centre, node, relation from e",
 )
 def _(kg):
-    return hops.ego_network(kg.triples, kg.train, kg.split("test"), kg.split("test"))[1]
+    edges, nodes = hops.ego_network(kg.triples, kg.train, kg.split("test"), kg.split("test"))
+    edges = edges.select(F.lit("edge").alias("part"), "centre", "node", F.col("relation").alias("role"))
+    return nodes.select(F.lit("node").alias("part"), "centre", "node", "role").unionByName(edges)

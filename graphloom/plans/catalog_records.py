@@ -5,31 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import records, sample, views
-from graphloom.plans.catalog import C2, SAMPLED, _again, _degrees, _sampled, query
+from graphloom.operators import datasets, records, sample, views
+from graphloom.plans.catalog import C1, C2, HUBS, RANDOM, SAMPLED, SEEDS, _again, _degrees, _sampled, key, query, walk
 from graphloom.sources import io
-from graphloom.testkg import num
-
-
-def _key(seed: int, *columns: str) -> str:
-    """The hash that orders samples."""
-    return num(" || ':' || ".join([f"'{seed}'", *columns]))
-
-
-_HUBS, _RANDOM = 30, 60
-SEEDS = f"""hubs as (select head as entity, count(distinct tail) as out_degree from triples group by 1 order by 2 desc, 1 limit {_HUBS}),
-others as (select entity from (select distinct head as entity from triples) order by {_key(1, "entity")}, entity limit {_RANDOM}),
-seeds as (select entity, row_number() over (order by entity) - 1 as no from (select entity from hubs union select entity from others))"""
 
 
 @query("W8_hub_seeds", f"with {SEEDS} select * from hubs")
 def _(kg):
-    return sample.hub_seeds(kg.triples, _HUBS)
+    return sample.hub_seeds(kg.triples, HUBS)
 
 
 @query("W9_random_seeds", f"with {SEEDS} select * from others")
 def _(kg):
-    return sample.random_seeds(kg.triples, _RANDOM)
+    return sample.random_seeds(kg.triples, RANDOM)
 
 
 @query(
@@ -50,10 +38,13 @@ def _(kg):
     return out.unionByName(make("cluster", kg.train.select(text.cluster(F.col("type")).alias("c")), "c"))
 
 
-_W12 = f"""{SAMPLED}, sdeg as (select entity, count(*) as d from (select head as entity from smp union all select tail from smp where head <> tail) group by 1),
+_PICKED = f"""sdeg as (select entity, count(*) as d from (select head as entity from smp union all select tail from smp where head <> tail) group by 1),
 wts as (select type, ln(1 + count(*)) as w from strain group by 1),
 ksz as (select s.entity, floor((et_degree / kg_degree::double + 0.1) * d) as k from sdeg s join deg using (entity)),
-keyed as (select entity, type, row_number() over (partition by entity order by round(-ln(({_key(1, "entity", "type")} + 0.5) / 4294967296.0) / w, 9), type) as rn from (select distinct * from strain) join wts using (type))"""
+keyed as (select entity, type, row_number() over (partition by entity order by round(-ln(({key(1, "entity", "type")} + 0.5) / 4294967296.0) / w, 9), type) as rn from (select distinct * from strain) join wts using (type))"""
+
+
+_W12 = f"{SAMPLED}, {_PICKED}"
 
 
 @query("W12_sample_types", f"with {_W12} select entity, type from keyed join ksz using (entity) where rn <= k")
@@ -64,8 +55,8 @@ def _(kg):
 def _fixed(rows: str, keys: list[str], k: int, seed: int) -> str:
     """CTEs of a fixed-size sample of ``rows``, with replacement where there are too few."""
     names = ", ".join(keys)
-    return f"""rk as (select *, row_number() over (partition by entity order by {_key(seed, "entity", *(f"{x}::varchar" for x in keys))}, {names}) as rn, count(*) over (partition by entity) as n from {rows}),
-draws as (select entity, slot, floor(({_key(seed, "entity", "slot")} + 0.5) / 4294967296.0 * n) + 1 as rn from (select distinct entity, n from rk where n < {k}), (select unnest(range(1, {k} + 1)) as slot)),
+    return f"""rk as (select *, row_number() over (partition by entity order by {key(seed, "entity", *(f"{x}::varchar" for x in keys))}, {names}) as rn, count(*) over (partition by entity) as n from {rows}),
+draws as (select entity, slot, floor(({key(seed, "entity", "slot")} + 0.5) / 4294967296.0 * n) + 1 as rn from (select distinct entity, n from rk where n < {k}), (select unnest(range(1, {k} + 1)) as slot)),
 fixed as (select entity, {names}, rn::bigint as slot from rk where n >= {k} and rn <= {k} union all select rk.entity, {names}, slot from rk join draws d on d.entity = rk.entity and d.rn = rk.rn)"""
 
 
@@ -77,9 +68,14 @@ def _(kg):
     return sample.fixed_sample(views.edge_view(kg.triples), _EV, 7).withColumn("slot", F.col("slot").cast("bigint"))
 
 
-@query("W14_capped", f"select entity, relation, other, direction from ev qualify row_number() over (partition by entity order by {_key(1, 'entity', *_EV)}, relation, other, direction) <= 20")
+@query(
+    "W14_capped",
+    f"select 'fact' as kind, entity, relation || ' ' || other || ' ' || direction as what from ev qualify row_number() over (partition by entity order by {key(1, 'entity', *_EV)}, relation, other, direction) <= 200 "
+    f"union all select 'type', entity, type from train qualify row_number() over (partition by entity order by {key(1, 'entity', 'type')}, type) <= 100",
+)
 def _(kg):
-    return sample.capped(views.edge_view(kg.triples), _EV, 20)
+    facts = sample.capped(views.edge_view(kg.triples), _EV, 200).select(F.lit("fact").alias("kind"), "entity", F.concat_ws(" ", *_EV).alias("what"))
+    return facts.unionByName(sample.capped(kg.train, ["type"], 100).select(F.lit("type").alias("kind"), "entity", F.col("type").alias("what")))
 
 
 @query("W15_second_hop_sample", f"with {_fixed('ev', _EV, 3, 1)}, one as (select distinct other as entity from fixed), ev2 as (select ev.* from ev semi join one using (entity)), {_fixed('ev2', _EV, 2, 2).replace('rk as', 'rk2 as').replace('from rk', 'from rk2').replace('draws as', 'draws2 as').replace('join draws', 'join draws2').replace('rk.', 'rk2.').replace('fixed as', 'fixed2 as')} select entity, relation, other, direction, slot from fixed2")
@@ -108,67 +104,38 @@ def _(kg):
 
 
 # --- walks -----------------------------------------------------------------------------------------------------------------
-def _walk(length: int, restart: float, seed: int = 1) -> str:
-    """Unrolled steps with the same hashes."""
-    u = lambda step, what: f"(({_key(seed, 'walker', chr(39) + str(step) + chr(39), chr(39) + what + chr(39))} + 0.5) / 4294967296.0)"
-    steps = ["step0 as (select entity as walker, entity as pos from seeds)"]
-    for i in range(1, length + 1):
-        steps.append(f"""step{i} as (
-  select walker, e.tail as pos from step{i - 1} s join adj e on e.head = s.pos and e.i = floor({u(i, "edge")} * e.deg) where {u(i, "restart")} >= {restart}
-  union all select walker, d.entity from step{i - 1} s join seeds d on d.no = floor({u(i, "seed")} * (select count(*) from seeds)) where {u(i, "restart")} < {restart})""")
-    every = " union ".join(f"select pos as entity from step{i}" for i in range(length + 1))
-    adj = "adj as (select head, tail, row_number() over (partition by head order by tail) - 1 as i, count(*) over (partition by head) as deg from (select distinct head, tail from triples))"
-    return f"{SEEDS}, {adj}, {', '.join(steps)}, walked as ({every})"
-
-
-def _seeds(kg):
-    return sample.hub_seeds(kg.triples, _HUBS).select("entity").union(sample.random_seeds(kg.triples, _RANDOM)).distinct()
+@query("G10_random_walks", f"with {walk()} select entity from walked")
+def _(kg):
+    seeds = sample.hub_seeds(kg.triples, HUBS).select("entity").union(sample.random_seeds(kg.triples, RANDOM)).distinct()
+    return sample.walk(kg.triples, seeds)
 
 
-@query("G10_random_walks", f"with {_walk(7, 0.7)} select entity from walked")
-def _(kg):
-    return sample.walk(kg.triples, _seeds(kg), 7, 0.7)
+# --- records -----------------------------------------------------------------------------------------------------------------
+_KNOWN = "known2 as (select * from train union all select * from valid)"
+_FACTS = "select head as entity, relation as name, tail from {0} where head <> tail union all select tail, 'inv-' || relation, head from {0} where head <> tail"
+_WHO = "select head as entity from {0} where head <> tail union select tail from {0} where head <> tail union select entity from {1}"
 
 
-@query(
-    "G11_sampled_dataset",
-    f"with {_walk(4, 0.3)}, sub as (select head, max(relation) as relation, tail from triples where head in (select entity from walked) and tail in (select entity from walked) group by head, tail), "
-    f"{_W12.replace(SAMPLED, 'smp as (select * from sub), sun as (select head as entity from smp union select tail from smp), strain as (select t.* from train t where entity in (select entity from sun))')}, "
-    "ktrain as (select entity, type from keyed join ksz using (entity) where rn <= k) "
-    "select 'fact' as part, head as a, relation as b, tail as c from sub union all select 'train', entity, type, null from ktrain "
-    "union all select 'valid', entity, type, null from valid where entity in (select entity from sun) and type in (select type from ktrain) union all select 'relation', relation, text, null from rtxt where relation in (select relation from sub)",
-)
-def _(kg):
-    sub = io.stored(views.collapse(views.induced(kg.triples, sample.walk(kg.triples, _seeds(kg), 4, 0.3))), "sampled")
-    train = io.stored(sample.sample_types(kg.train, sub, _degrees(kg)), "sampled-types")
-    none = F.lit(None).cast("string").alias("c")
-    valid = views.held_out_types(kg.split("valid"), train, views.universe(sub))
-    out = sub.select(F.lit("fact").alias("part"), F.col("head").alias("a"), F.col("relation").alias("b"), F.col("tail").alias("c"))
-    for name, df in (("train", train), ("valid", valid)):
-        out = out.unionByName(df.select(F.lit(name).alias("part"), F.col("entity").alias("a"), F.col("type").alias("b"), none))
-    texts = views.used_text(kg.relation_text, sub, "relation")
-    return out.unionByName(texts.select(F.lit("relation").alias("part"), F.col("relation").alias("a"), F.col("text").alias("b"), none))
+def record_ctes(graph: str = "triples", known: str = "known2", first: str = "triples", last: str = "known2", facts: str = _FACTS, who: str = _WHO, p: str = "") -> str:
+    """CTEs of the record lines of a graph; names without facts or types take the first and last ones of other tables."""
+    return f"""{p}who as ({who.format(graph, known)}),
+{p}rt as (select entity, {C1} as name, type as tail from {known} where entity in (select entity from {p}who) union all
+  select entity, (select max(x) from (select {C2} as x from {last})), (select max(type) from {last}) from {p}who where entity not in (select entity from {known})),
+{p}rf as ({facts.format(graph)}),
+{p}rf2 as (select * from {p}rf where entity in (select entity from {p}who) union all select entity, (select min(relation) from {first}), (select least(min(head), min(tail)) from {first}) from {p}who where entity not in (select entity from {p}rf)),
+{p}lines as (select w.entity, w.entity || ' ||| ' || t.p || ' ||| ' || f.p || ' ||| cluster' as line from {p}who w
+  join (select entity, string_agg(entity || ' ' || name || ' ' || tail, ' [SEP] ' order by tail) as p from {p}rt group by 1) t using (entity)
+  join (select entity, string_agg(entity || ' ' || name || ' ' || tail, ' [SEP] ' order by name, tail) as p from {p}rf2 group by 1) f using (entity))"""
 
 
-# --- records -----------------------------------------------------------------------------------------------------------------
-_KNOWN = "known2 as (select * from train union all select * from valid)"
-REC = f"""{_KNOWN}, who2 as (select head as entity from triples where head <> tail union select tail from triples where head <> tail union select entity from known2),
-rt as (select entity, {C2} as name, type as tail from known2 union all
-  select entity, (select max(x) from (select {C2} as x from known2)), (select max(type) from known2) from who2 where entity not in (select entity from known2)),
-rf as (select head as entity, relation as name, tail from triples where head <> tail union all select tail, 'inv-' || relation, head from triples where head <> tail),
-lines as (select w.entity, w.entity || ' ||| ' || t.p || ' ||| ' || f.p || ' ||| cluster' as line from who2 w
-  join (select entity, string_agg(entity || ' ' || name || ' ' || tail, ' [SEP] ' order by tail) as p from rt group by 1) t using (entity)
-  join (select entity, string_agg(entity || ' ' || name || ' ' || tail, ' [SEP] ' order by name, tail) as p from rf2 group by 1) f using (entity))"""
-REC = REC.replace("lines as", "rf2 as (select * from rf union all select entity, (select min(relation) from triples), (select min(entity) from universe) from who2 where entity not in (select entity from rf)),\nlines as")
+REC = f"{_KNOWN}, {record_ctes()}"
 
 
 def _records(kg, triples=None):
     triples = kg.triples if triples is None else triples
     known = kg.train.unionByName(kg.split("valid"))
     who = views.record_universe(triples, kg.train, kg.split("valid"), kg.split("test"))
-    last = known.agg(F.max(text.cluster(F.col("type"))), F.max("type")).first()
-    zero = (kg.triples.agg(F.min("relation")).first()[0], views.universe(kg.triples).agg(F.min("entity")).first()[0])
-    return records.context_records(who, views.with_inverse(triples), known, *last, *zero)
+    return records.context_records(who, views.with_inverse(triples), known, records.record_defaults(known, kg.triples))
 
 
 @query("G7_context_records", f"with {REC} select * from lines")
@@ -191,7 +158,7 @@ def _(kg):
     return records.parse_records(back)
 
 
-_CODE = f"""{REC}, de as (select entity as name, row_number() over (order by entity) - 1 as id from who2),
+_CODE = f"""{REC}, de as (select entity as name, row_number() over (order by entity) - 1 as id from who),
 dr as (select relation as name, row_number() over (order by relation) - 1 as id from (select distinct relation from triples)),
 dt as (select type as name, row_number() over (order by type) - 1 as id from (select distinct type from known2)),
 dc as (select name, row_number() over (order by name) - 1 as id from (select distinct {C2} as name from known2)),
@@ -207,16 +174,16 @@ def _coded(kg):
 
 @query(
     "G8_encoded_records",
-    f"with {_CODE} select de.id as entity_id, 'type' as part, de.id as a, dc.id + R as b, dt.id + E as c from rt join de on de.name = rt.entity join dc on dc.name = rt.name join dt on dt.name = rt.tail, nn "
+    f"with {_CODE} select de.id as entity_id, 'type' as part, de.id as a, dc.id + R as b, dt.id + E as c from rt join de on de.name = rt.entity join dc on dc.name = {C2.replace('type', 'rt.tail')} join dt on dt.name = rt.tail, nn "
     "union all select de.id, 'fact', de.id, dr.id + case when starts_with(rf2.name, 'inv-') then R + C else 0 end, z.id from rf2 join de on de.name = rf2.entity join dr on dr.name = case when starts_with(rf2.name, 'inv-') then rf2.name[5:] else rf2.name end join de z on z.name = rf2.tail, nn",
 )
 def _(kg):
     return _coded(kg)
 
 
-@query("J16_second_hop_records", f"with {REC}, asked as (select distinct other from ev where entity like 'o%' union select 'nobody') select other, coalesce(line, 'none') as record, (line is not null)::int as mask from asked left join lines on lines.entity = other")
+@query("J16_second_hop_records", f"with {REC}, {_fixed('ev', _EV, 7, 1)}, asked as (select distinct other from fixed union select 'nobody') select other, coalesce(line, 'none') as record, (line is not null)::int as mask from asked left join lines on lines.entity = other")
 def _(kg):
-    asked = views.edge_view(kg.triples).filter("entity like 'o%'").select("other").distinct()
+    asked = sample.fixed_sample(views.edge_view(kg.triples), _EV, 7).select("other").distinct()
     asked = asked.unionByName(kg.spark.range(1).select(F.lit("nobody").alias("other")))
     return records.second_hop(asked, _records(kg), "none")
 
@@ -231,3 +198,32 @@ def _(kg):
 def _(kg):
     less = kg.triples.filter("relation <> '/people/customer/order'")
     return records.record_differences(records.parse_records(_records(kg)), records.parse_records(_records(kg, less)))
+
+
+_SUB = "sub as (select head, max(relation) as relation, tail from triples where head in (select entity from walked) and tail in (select entity from walked) group by head, tail), smp as (select * from sub), sun as (select head as entity from sub union select tail from sub), strain as (select t.* from train t where entity in (select entity from sun))"
+_HELD = "in (select entity from sun) and type in (select type from ktrain)"
+_G11 = f"""{walk()}, {_SUB}, {_PICKED}, ktrain as (select entity, type from keyed join ksz using (entity) where rn <= k),
+kvalid as (select * from valid where entity {_HELD}), ktest as (select * from test where entity {_HELD}), kknown as (select * from ktrain union all select * from kvalid),
+{record_ctes("sub", "kknown", "sub", "ktrain", p="a")}, {record_ctes("sub", "kknown", "sub", "ktrain", who="select distinct entity from ktest", p="b")}"""
+
+
+def long_rows(tables: dict) -> object:
+    """Tables of up to three columns under one another: (part, a, b, c)."""
+    out = None
+    for part, df in tables.items():
+        cells = [F.col(c).cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (3 - len(df.columns))
+        rows = df.select(F.lit(part).alias("part"), *[c.alias(n) for c, n in zip(cells, "abc")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "G11_sampled_dataset",
+    f"with {_G11} select 'triples' as part, head as a, relation as b, tail as c from sub union all select 'train', entity, type, null from ktrain union all select 'valid', entity, type, null from kvalid "
+    "union all select 'test', entity, type, null from ktest union all select 'relation_text', relation, text, null from rtxt where relation in (select relation from sub) "
+    "union all select 'type_text', type, text, null from ttxt where type in (select type from ktrain) union all select 'records', 'train', entity, line from alines union all select 'records', 'test', entity, line from blines "
+    "union all select 'dictionaries', kind, name, (row_number() over (partition by kind order by name) - 1)::varchar from (select 'entity' as kind, entity as name from sun "
+    f"union select 'relation', relation from sub union select 'type', type from ktrain union select 'cluster', {C2} from ktrain)",
+)
+def _(kg):
+    return long_rows(datasets.sampled(kg.triples, kg.train, kg.split("valid"), kg.split("test"), _degrees(kg), kg.relation_text, kg.type_text))
