@@ -32,9 +32,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def vector_sum(units: Column) -> Column:
-    """Element-wise sum over a group, combined map-side."""
-    return vector_to_array(Summarizer.sum(array_to_vector(units)))
+def vector_sum(units: Column, size: int | None = None) -> Column:
+    """Element-wise sum over a group, combined map-side: of ``size`` columns, or of vectors where the size is not known."""
+    if size is None:
+        return vector_to_array(Summarizer.sum(array_to_vector(units)))
+    return F.array(*[F.sum(F.get(units, F.lit(i))) for i in range(size)])
 
 
 def mean_pair_cosine(total: Column, squares: Column, n: Column, few: float = 0.5) -> Column:

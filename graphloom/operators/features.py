@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import vectors
 from graphloom.operators import views
+from graphloom.operators.order import running
+from graphloom.sources.io import stored
 
 
 def degrees(triples: DataFrame, types: DataFrame) -> DataFrame:
@@ -26,17 +28,20 @@ def text_length(facts: DataFrame, typed: DataFrame) -> DataFrame:
     return f.join(t, "entity", "left").select("entity", ((F.col("a") + zero("b")) / (F.col("n") + zero("m"))).alias("avg_txt_length"))
 
 
-def coherence(sentences: DataFrame, few: float = 0.5) -> DataFrame:
-    """A3: mean cosine over all pairs of an entity's sentences, by the sum of unit vectors instead of pairs."""
+def coherence(sentences: DataFrame, few: float = 0.5, size: int | None = None) -> DataFrame:
+    """A3: mean cosine over all pairs of an entity's sentences, by the sum of unit vectors instead of pairs.
+
+    A known ``size`` of the vectors makes the sum a hash aggregate of as many numbers.
+    """
     own = vectors.dot(F.col("u"), F.col("u"))
-    g = sentences.groupBy("entity").agg(vectors.vector_sum(F.col("u")).alias("s"), F.sum(own).alias("q"), F.count(F.lit(1)).alias("n"))
+    g = sentences.groupBy("entity").agg(vectors.vector_sum(F.col("u"), size).alias("s"), F.sum(own).alias("q"), F.count(F.lit(1)).alias("n"))
     return g.select("entity", vectors.mean_pair_cosine(F.col("s"), F.col("q"), F.col("n"), few).alias("sim_mu"))
 
 
-def feature_table(triples: DataFrame, types: DataFrame, facts: DataFrame, typed: DataFrame, few: float = 0.5) -> DataFrame:
-    """The eight feature columns; ``facts`` and ``typed`` carry sentence and unit vector."""
-    k = coherence(facts, few).withColumnRenamed("sim_mu", "kg_sim_mu")
-    e = coherence(typed, few).withColumnRenamed("sim_mu", "et_sim_mu")
+def feature_table(triples: DataFrame, types: DataFrame, facts: DataFrame, typed: DataFrame, few: float = 0.5, size: int | None = None) -> DataFrame:
+    """The eight feature columns; ``facts`` and ``typed`` carry sentence and unit vector (of a known ``size``, see A3)."""
+    k = coherence(facts, few, size).withColumnRenamed("sim_mu", "kg_sim_mu")
+    e = coherence(typed, few, size).withColumnRenamed("sim_mu", "et_sim_mu")
     out = degrees(triples, types).join(k, "entity", "left").join(e, "entity", "left").join(text_length(facts, typed), "entity", "left")
     return out.select(
         "entity", F.coalesce("kg_sim_mu", F.lit(few)).alias("kg_sim_mu"), F.coalesce("et_sim_mu", F.lit(few)).alias("et_sim_mu"),
@@ -58,13 +63,17 @@ def centroid(sentences: DataFrame) -> DataFrame:
 def least_coherent(sentences: DataFrame, keys: list[str], fraction: float | None = 0.05, k: int | None = None, digits: int = 9) -> DataFrame:
     """The ceil(fraction * count), or k, sentences of each entity with the least mean cosine to all of them.
 
-    The similarity is rounded before ranking, ties go by ``keys``.
+    The similarity is rounded before ranking, ties go by ``keys``. With a fraction the scores are stored.
     """
     c = centroid(sentences)
-    scored = sentences.join(c, "entity").withColumn("sim", F.round(vectors.dot(F.col("u"), F.col("centre")), digits))
-    order = Window.partitionBy("entity").orderBy("sim", *keys)
-    limit: Column = F.ceil(F.col("n") * F.lit(fraction)) if k is None else F.lit(k)
-    return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit).select("entity", *keys, "sim", "n")
+    scored = sentences.join(c, "entity").select("entity", *keys, F.round(vectors.dot(F.col("u"), F.col("centre")), digits).alias("sim"), "n")
+    if k is not None:
+        order = Window.partitionBy("entity").orderBy("sim", *keys)
+        return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
+    # A share of a hub's sentences may be millions: their places go by range partitions.
+    scored = stored(scored.withColumn("_o", F.struct("sim", *keys, F.monotonically_increasing_id())).withColumn("_one", F.lit(1)), "coherence")
+    placed = running(scored, ["entity"], "_o", "_one", "_before")
+    return placed.filter(F.col("_before") < F.ceil(F.col("n") * F.lit(fraction))).select("entity", *keys, "sim", "n")
 
 
 def noise_frequency(facts: DataFrame, column: str, keys: list[str], k: int = 5) -> DataFrame:

@@ -10,24 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators import hops, views
+from graphloom.operators.order import running
 from graphloom.sources.io import stored
 
 
-def running(cells: DataFrame, keys: list[str], order: str, count: str, name: str, partitions: int | None = None) -> DataFrame:
-    """Add ``name``: the sum of ``count`` over the rows of the same keys that stand before in ``order``, which are unique.
-
-    Range partitions and their offsets: no task holds all rows of a key. The broadcast offsets are a row for each key and
-    each border of partitions.
-    """
-    n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(cells.repartitionByRange(n, *keys, order).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys, "_part").agg(F.sum(count).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.join(F.broadcast(offsets), [*keys, "_part"])
-    return out.withColumn(name, F.col("_before") + F.coalesce(F.sum(count).over(within), F.lit(0))).drop("_part", "_before")
-
-
 def quantiles(values: DataFrame, keys: list[str], points: list[float], column: str = "value") -> DataFrame:
     """(keys, q): array of the exact quantiles of each key at ``points``, interpolated between neighbours; nulls do not count."""
     cells = values.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -216,19 +202,23 @@ def erfc(x: Column) -> Column:
 def logistic(df: DataFrame, metrics: list[str], label: str = "y", strata: dict[str, Column] | None = None) -> DataFrame:
     """(stratum, term, coefficient, error, p) of a logistic regression with intercept for each stratum; "all" if none is named.
 
-    Runs jobs: one fit a stratum. A stratum without both labels has no rows in the result.
+    Runs jobs: a fit for each stratum. A metric that is constant in a stratum is left out there; a stratum without both
+    labels, or without a metric left, has no rows in the result.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rows = VectorAssembler(inputCols=metrics, outputCol="_features", handleInvalid="skip").transform(df.withColumn(label, F.col(label).cast("double")))
+    rows = df.withColumn(label, F.col(label).cast("double"))
     found = []
     for name, condition in (strata or {"all": F.lit(True)}).items():
-        some = rows.filter(condition)
-        if some.select(label).distinct().limit(2).count() < 2:
+        some = rows.filter(condition).na.drop(subset=[label, *metrics])
+        varied = some.agg(*[(F.min(c) < F.max(c)).alias(c) for c in (label, *metrics)]).first()
+        used = [m for m in metrics if varied[m]]
+        if not varied[label] or not used:
             continue
+        some = VectorAssembler(inputCols=used, outputCol="_features").transform(some)
         model = GeneralizedLinearRegression(family="binomial", featuresCol="_features", labelCol=label).fit(some)
-        terms = zip([*metrics, "intercept"], [*model.coefficients.tolist(), model.intercept], model.summary.coefficientStandardErrors, model.summary.pValues, strict=True)
+        terms = zip([*used, "intercept"], [*model.coefficients.tolist(), model.intercept], model.summary.coefficientStandardErrors, model.summary.pValues, strict=True)
         found += [(name, n, float(c), float(s), float(p)) for n, c, s, p in terms]
     return df.sparkSession.createDataFrame(found, "stratum string, term string, coefficient double, error double, p double")
 

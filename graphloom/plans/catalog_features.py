@@ -40,7 +40,7 @@ tpair as (select a.entity, avg(list_cosine_similarity(a.v, b.v)) as m from tv a
 
 @query("A3_coherence", f"with {PAIRS} select u.entity, round(coalesce(kpair.m, 0.5), 6) as sim_mu from universe u left join kpair using (entity)")
 def _(kg):
-    return features.coherence(kg.vectors(_facts(kg))).select("entity", r6("sim_mu"))
+    return features.coherence(kg.vectors(_facts(kg)), size=64).select("entity", r6("sim_mu"))
 
 
 @query("A4_neighbour_counts", "select entity, count(distinct other) filter (where direction = '-') + count(distinct other) filter (where direction = 'inv') as neighbours from ev group by entity")
@@ -508,7 +508,7 @@ def _(kg):
     "select d.entity, round(coalesce(kpair.m, 0.5), 6) as kg_sim_mu, round(coalesce(tpair.m, 0.5), 6) as et_sim_mu, kg_degree + et_degree as degree, round(a, 6) as avg_txt_length, kg_degree, et_degree, round(et_degree / kg_degree::double, 6) as type_kg_ratio from deg d left join kpair using (entity) left join tpair using (entity) join len_ using (entity)",
 )
 def _(kg):
-    out = features.feature_table(kg.triples, kg.train, kg.vectors(_facts(kg)), kg.vectors(_typed(kg)))
+    out = features.feature_table(kg.triples, kg.train, kg.vectors(_facts(kg)), kg.vectors(_typed(kg)), size=64)
     return out.select("entity", r6("kg_sim_mu"), r6("et_sim_mu"), "degree", r6("avg_txt_length"), "kg_degree", "et_degree", r6("type_kg_ratio"))
 
 
