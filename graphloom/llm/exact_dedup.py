@@ -13,7 +13,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, read
+from graphloom.llm.common import ascii_lower, keyed, read
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -40,9 +40,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The documents that stay, with all their columns; ids are expected to be unique."""
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row for each text, with all its columns: the one of the smallest (or largest) id.
+
+    A row without an id stays only where no row of its group has one; of rows that share the id, or have none, the first in
+    the table stays.  Null and empty texts are one group.  Runs a job: the rows are stored with a number of their own.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be 'smallest' or 'largest'")
+    rows = keyed(docs, "exact-rows")
+    id_, text = F.col("row")[id_col], ascii_lower(F.coalesce(F.col("row")[text_col], F.lit("")))
+    if keep == "smallest":
+        best = F.min(F.struct(id_.isNull(), id_, F.col("key").alias("key")))
+    else:
+        best = F.max(F.struct(id_.isNotNull(), id_, (-F.col("key")).alias("key")))
+    kept = rows.groupBy(F.md5(text), text).agg(best.alias("best")).select(F.abs("best.key").alias("key"))
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,9 @@ def test_exact_groups(spark):
 def test_exact_groups_without_ids(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), (4, "b")], "doc_id long, text string")
     assert sorted((r.keep_id or -1, r.kept) for r in exact_dedup.exact_groups(df).collect()) == [(-1, True), (4, False), (4, True)]
+    rows = [(None, "A", 1), (None, "a", 2), (4, "b", 3), (None, "B", 4), (2, "b", 5), (2, "b", 6), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").coalesce(1)
+    assert sorted(r.key for r in exact_dedup.dedup(df).collect()) == [1, 5, 7] and sorted(r.key for r in exact_dedup.dedup(df, keep="largest").collect()) == [1, 3, 7]
 
 
 # --- 4
@@ -532,14 +535,16 @@ def test_empty_tables(spark, run):
     assert run(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def licences(d):
+    return license_scan.scan(d, license_scan.train(["a b c"], 2))
+
+
 @pytest.mark.parametrize(
-    "run",
-    [
-        sentencepiece_wfst.encode, suffix_dedup.remove_repeats, exact_dedup.exact_groups, mixing.mix, jaccard_join.jaccard_components, quality_rules.quality, secret_scan.scan,
-        line_dedup.dedup_lines, lambda d: license_scan.scan(d, license_scan.train(["a b c"], 2)),
-    ],
-)
-@pytest.mark.parametrize("kind", ["long", "string"])
+    "run, kind",
+    [(f, "long") for f in (exact_dedup.exact_groups, mixing.mix, quality_rules.quality, secret_scan.scan, line_dedup.dedup_lines)]
+    + [(f, "string") for f in (sentencepiece_wfst.encode, suffix_dedup.remove_repeats, jaccard_join.jaccard_components, licences)]
+    + [(f, "long") for f in (suffix_dedup.remove_repeats, jaccard_join.jaccard_components)],
+)
 def test_null_and_repeated_ids_of_any_type_give_a_row_each(spark, run, kind):
     df = spark.createDataFrame([(None, words(150, 1), None), (None, None, "s"), (1, words(150, 1), "s"), (1, words(150, 1), "s"), (1, words(150, 2), None)], "doc_id long, text string, source string")
     out = run(df.withColumn("doc_id", F.col("doc_id").cast(kind)))
