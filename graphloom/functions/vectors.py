@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -50,14 +51,19 @@ def number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+
+
 def feature_hash(sentences: list[str], size: int = 64) -> np.ndarray:
-    """Default encoder: signed counts of hashed words."""
-    out = np.zeros((len(sentences), size))
-    for i, s in enumerate(sentences):
-        for w in s.lower().split():
-            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-            out[i, (h >> 1) % size] += 1 if h & 1 else -1
-    return out
+    """Default encoder: signed counts of hashed words, one sparse sum for all sentences."""
+    words = [list(map(_word_hash, s.lower().split())) for s in sentences]
+    h = np.array([x for w in words for x in w], np.uint64)
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    slot = row * size + ((h >> np.uint64(1)) % np.uint64(size)).astype(np.int64)
+    sign = np.where(h & np.uint64(1), 1.0, -1.0)
+    return np.bincount(slot, sign, len(words) * size).reshape(len(words), size)
 
 
 def encode(sentences: DataFrame, column: str = "sentence", encoder: Callable[[list[str]], np.ndarray] = feature_hash, batch: int = 200) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The knowledge graph that the test tables hold, in Spark and, as shared CTEs, in DuckDB SQL."""
+"""Fixture: the knowledge graph that the test tables hold, in Spark and, as shared CTEs, in DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -104,7 +104,7 @@ class KG:
     @property
     def scores(self) -> DataFrame:
         """Scores of every (typed entity of the test split, type): (md5 number % 1000) / 1000."""
-        pairs = self.split("test").select("entity").distinct().crossJoin(F.broadcast(self.types.select("type").distinct()))
+        pairs = self.split("test").select("entity").distinct().crossJoin(self.types.select("type").distinct())
         return pairs.withColumn("score", (vectors.number(F.concat_ws("|", "entity", "type")) % 1000) / 1000.0)
 
 
