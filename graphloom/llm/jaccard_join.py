@@ -38,7 +38,7 @@ WORDS, SHARE = 5, 75
 COUNTED, FREQUENT, LISTED = 0.375, 8, 1 << 20
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
 #: Queries of one group that one task answers.
-QUERIES = 2048
+QUERIES = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
