@@ -74,14 +74,14 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         at += n
 
 
-def _trie(outputs: dict[str, object]) -> dict:
-    """Nodes map a character to the next node, and "" to the output of the string that ends here."""
-    root: dict = {}
+def _trie(outputs: dict[str, object]) -> list:
+    """Nodes are [output of the string that ends here or None, next nodes by character]."""
+    root: list = [None, {}]
     for word, output in outputs.items():
         node = root
         for c in word:
-            node = node.setdefault(c, {})
-        node[""] = output
+            node = node[1].setdefault(c, [None, {}])
+        node[0] = output
     return root
 
 
@@ -251,16 +251,20 @@ class Transducer:
         return found
 
     def arcs(self, segment: str, i: int) -> list[tuple[int, str, int]]:
-        """(id, characters read, weight) of pieces, shortest first, and fallback (-1) composed with the segment at position i."""
-        out, node = [], self.root
-        for j in range(i, len(segment)):
-            node = node.get(segment[j])
-            if node is None:
+        """(id, characters read, weight) composed with the segment at position i: the fallback (-1) where no piece is just
+        its character, then pieces, shortest first."""
+        first = self.root[1].get(segment[i])
+        if first is None:
+            return [(-1, segment[i], self.fallback)]
+        out = [first[0] or (-1, segment[i], self.fallback)]
+        node = first[1]
+        for j in range(i + 1, len(segment)):
+            found = node.get(segment[j])
+            if found is None:
                 break
-            if "" in node:
-                out.append(node[""])
-        if not out or len(out[0][1]) > 1:
-            out.insert(0, (-1, segment[i], self.fallback))
+            arc, node = found
+            if arc is not None:
+                out.append(arc)
         return out
 
     def shortest(self, segment: str) -> list[tuple[int, str, int]]:
@@ -269,7 +273,7 @@ class Transducer:
         Of equal weights to a position the one with the longest last piece counts.  Where all weights are 0 or infinity
         the frontier is a stack, which gives the longest piece at the furthest position first; else it is a heap.
         """
-        n, bpe, serial, settled, together = len(segment), self.bpe, 0, set(), self.together
+        n, bpe, serial, settled, together, arcs = len(segment), self.bpe, 0, set(), self.together, self.arcs
         weight, state = 0, (0, None, None)
         frontier: list = []
         while True:
@@ -277,22 +281,18 @@ class Transducer:
             settled.add(end)
             if end == n:
                 break
-            for arc in self.arcs(segment, end):
-                to = end + len(arc[1])
-                if to in settled:
-                    continue
-                if bpe:
-                    frontier.append((to, arc, state))
-                else:
-                    serial += 1
-                    heapq.heappush(frontier, (weight + arc[2], -to, end, serial, (to, arc, state)))
-            while True:
-                if bpe:
+            if bpe:
+                frontier += [(end + len(arc[1]), arc, state) for arc in arcs(segment, end)]
+                state = frontier.pop()
+                while state[0] in settled or (before := state[2][1]) is not None and not together(before, state[1]):
                     state = frontier.pop()
-                else:
-                    weight, _, _, _, state = heapq.heappop(frontier)
-                if state[0] not in settled and (not bpe or state[2][1] is None or together(state[2][1], state[1])):
-                    break
+                continue
+            for arc in arcs(segment, end):
+                to, serial = end + len(arc[1]), serial + 1
+                heapq.heappush(frontier, (weight + arc[2], -to, end, serial, (to, arc, state)))
+            weight, _, _, _, state = heapq.heappop(frontier)
+            while state[0] in settled:
+                weight, _, _, _, state = heapq.heappop(frontier)
         path = []
         while state[1] is not None:
             path.append(state[1])
