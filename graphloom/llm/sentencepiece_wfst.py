@@ -223,7 +223,7 @@ class Transducer:
         rest = "(?s:.)+" if inner else (f"{free}|" if free else "") + rf"{MARK}*[^{MARK}{free}]+|{MARK}+"
         self.split = re.compile("(" + "|".join(alone) + ")") if alone else None
         self.cut = re.compile(rest)
-        self.pairs: dict[int | tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.paths = _Paths(self.path)
 
     def _together(self, left: str, right: str) -> bool:
@@ -242,24 +242,22 @@ class Transducer:
 
     def together(self, left: tuple[int, str, int], right: tuple[int, str, int]) -> bool:
         """The order's verdict on a pair of arcs, with a bounded memory."""
-        key = (left[0] << 24) + right[0] if left[0] >= 0 and right[0] >= 0 else (left[1], right[1])
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= 1 << 20:
-                self.pairs.clear()
-            found = self.pairs[key] = self._together(left[1], right[1])
+        if len(self.pairs) >= 1 << 20:
+            self.pairs.clear()
+        found = self.pairs[(left[0] << 24) + right[0]] = self._together(left[1], right[1])
         return found
 
     def arcs(self, segment: str, i: int) -> list[tuple[int, str, int]]:
-        """(id, characters read, weight) composed with the segment at position i: the fallback (-1) where no piece is just
-        its character, then pieces, shortest first."""
-        first = self.root[1].get(segment[i])
+        """(id, characters read, weight) composed with the segment at position i: the fallback (a negative id) where no piece
+        is just its character, then pieces, shortest first."""
+        c = segment[i]
+        first = self.root[1].get(c)
         if first is None:
-            return [(-1, segment[i], self.fallback)]
-        out = [first[0] or (-1, segment[i], self.fallback)]
+            return [(-1 - ord(c), c, self.fallback)]
+        out = [first[0] or (-1 - ord(c), c, self.fallback)]
         node = first[1]
-        for j in range(i + 1, len(segment)):
-            found = node.get(segment[j])
+        for c in segment[i + 1 :]:
+            found = node.get(c)
             if found is None:
                 break
             arc, node = found
@@ -273,26 +271,32 @@ class Transducer:
         Of equal weights to a position the one with the longest last piece counts.  Where all weights are 0 or infinity
         the frontier is a stack, which gives the longest piece at the furthest position first; else it is a heap.
         """
-        n, bpe, serial, settled, together, arcs = len(segment), self.bpe, 0, set(), self.together, self.arcs
-        weight, state = 0, (0, None, None)
+        n, end, serial, weight, settled = len(segment), 0, 0, 0, set()
+        state: tuple = (0, None, None)
         frontier: list = []
-        while True:
-            end = state[0]
+        arcs, pairs = self.arcs, self.pairs
+        while end != n:
             settled.add(end)
-            if end == n:
-                break
-            if bpe:
-                frontier += [(end + len(arc[1]), arc, state) for arc in arcs(segment, end)]
-                state = frontier.pop()
-                while state[0] in settled or (before := state[2][1]) is not None and not together(before, state[1]):
-                    state = frontier.pop()
+            if not self.bpe:
+                for arc in arcs(segment, end):
+                    to, serial = end + len(arc[1]), serial + 1
+                    heapq.heappush(frontier, (weight + arc[2], -to, end, serial, (to, arc, state)))
+                while end in settled:
+                    weight, _, _, _, state = heapq.heappop(frontier)
+                    end = state[0]
                 continue
             for arc in arcs(segment, end):
-                to, serial = end + len(arc[1]), serial + 1
-                heapq.heappush(frontier, (weight + arc[2], -to, end, serial, (to, arc, state)))
-            weight, _, _, _, state = heapq.heappop(frontier)
-            while state[0] in settled:
-                weight, _, _, _, state = heapq.heappop(frontier)
+                frontier.append((end + len(arc[1]), arc, state))
+            while True:
+                state = frontier.pop()
+                end, arc, (_, before, _) = state
+                if end in settled:
+                    continue
+                if before is None:
+                    break
+                fits = pairs.get((before[0] << 24) + arc[0])
+                if fits or fits is None and self.together(before, arc):
+                    break
         path = []
         while state[1] is not None:
             path.append(state[1])
