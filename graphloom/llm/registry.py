@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import chat_format, exact_dedup, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
+from graphloom.llm import chat_format, exact_dedup, fill_middle, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_license_scan": license_scan.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_fill_middle": fill_middle.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_chat_format": chat_format.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
 }
