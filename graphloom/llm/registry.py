@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import chat_format, exact_dedup, fill_middle, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup, whitening
+from graphloom.llm import chat_format, decontamination, exact_dedup, fill_middle, jaccard_join, license_scan, line_dedup, mixing, quality_rules, secret_scan, sentencepiece_wfst, suffix_dedup, whitening
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_wfst.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_license_scan": license_scan.query,
     "op10_line_dedup": line_dedup.query,
     "op11_fill_middle": fill_middle.query,
+    "op12_decontamination": decontamination.query,
     "op13_whitening": whitening.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,4 +28,5 @@ ORACLES = {
     "op7_chat_format": chat_format.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_decontamination": decontamination.ORACLE_SQL,
 }
