@@ -54,28 +54,35 @@ def neighbour_counts(triples: DataFrame) -> DataFrame:
     return views.edge_view(triples).groupBy("entity").agg(F.countDistinct("direction", "other").alias("neighbours"))
 
 
-def centroid(sentences: DataFrame) -> DataFrame:
-    """(entity, centre, n): mean unit vector of an entity's sentences."""
-    g = sentences.groupBy("entity").agg(vectors.vector_sum(F.col("u")).alias("s"), F.count(F.lit(1)).alias("n"))
+def centroid(sentences: DataFrame, size: int | None = None) -> DataFrame:
+    """(entity, centre, n): mean unit vector of an entity's sentences, a hash aggregate where the ``size`` of vectors is known."""
+    g = sentences.groupBy("entity").agg(vectors.vector_sum(F.col("u"), size).alias("s"), F.count(F.lit(1)).alias("n"))
     return g.select("entity", F.expr("transform(s, x -> x / n)").alias("centre"), "n")
 
 
-def least_coherent(sentences: DataFrame, keys: list[str], fraction: float | None = 0.05, k: int | None = None, digits: int = 9) -> DataFrame:
+def least_coherent(sentences: DataFrame, keys: list[str], fraction: float | None = 0.05, k: int | None = None, digits: int = 9, size: int | None = None, limit: int = 256) -> DataFrame:
     """The ceil(fraction * count), or k, sentences of each entity with the least mean cosine to all of them.
 
-    The similarity is rounded before ranking, ties go by ``keys``. With a fraction the scores are stored.
+    The similarity is rounded before ranking, ties go by ``keys``; ``size`` as in ``centroid``.  With a fraction, entities
+    that lose ``limit`` sentences at most are ranked with ranks cut before the shuffle; of the others, whose share may be
+    millions, scores are stored and places go by range partitions.
     """
-    c = centroid(sentences)
+    c = centroid(sentences, size)
     scored = sentences.join(c, "entity").select("entity", *keys, F.round(vectors.dot(F.col("u"), F.col("centre")), digits).alias("sim"), "n")
+    order = Window.partitionBy("entity").orderBy("sim", *keys)
     if k is not None:
-        order = Window.partitionBy("entity").orderBy("sim", *keys)
         return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).drop("_rn")
-    # A share of a hub's sentences may be millions: their places go by range partitions.
-    scored = stored(scored.withColumn("_o", F.struct("sim", *keys, F.monotonically_increasing_id())).withColumn("_one", F.lit(1)), "coherence")
-    placed = running(scored, ["entity"], "_o", "_one", "_before")
-    return placed.filter(F.col("_before") < F.ceil(F.col("n") * F.lit(fraction))).select("entity", *keys, "sim", "n")
-
-
-def noise_frequency(facts: DataFrame, column: str, keys: list[str], k: int = 5) -> DataFrame:
+    scored = stored(scored.withColumn("_k", F.ceil(F.col("n") * F.lit(fraction))), "coherence")
+    names = ["entity", *keys, "sim", "n"]
+    few = scored.filter(F.col("_k") <= limit).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit).filter(F.col("_rn") <= F.col("_k")).select(*names)
+    many = scored.filter(F.col("_k") > limit)
+    if many.isEmpty():
+        return few
+    many = stored(many.withColumn("_o", F.struct("sim", *keys, F.monotonically_increasing_id())).withColumn("_one", F.lit(1)), "coherence-hubs")
+    placed = running(many, ["entity"], "_o", "_one", "_before")
+    return few.unionByName(placed.filter(F.col("_before") < F.col("_k")).select(*names))
+
+
+def noise_frequency(facts: DataFrame, column: str, keys: list[str], k: int = 5, size: int | None = None) -> DataFrame:
     """How often each relation (or type) is among the k least coherent sentences of an entity with two or more."""
-    return least_coherent(facts, keys, None, k).filter("n > 1").groupBy(column).agg(F.count(F.lit(1)).alias("frequency"))
+    return least_coherent(facts, keys, None, k, size=size).filter("n > 1").groupBy(column).agg(F.count(F.lit(1)).alias("frequency"))

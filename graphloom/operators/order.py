@@ -23,3 +23,18 @@ def running(cells: DataFrame, keys: list[str], order: str, count: str, name: str
     out = ranged.withColumn("_own", F.coalesce(F.sum(count).over(within), zero))
     out = out.join(F.broadcast(offsets.filter("_before > 0")), [*keys, "_part"], "left")
     return out.withColumn(name, F.coalesce("_before", zero) + F.col("_own")).drop("_part", "_before", "_own")
+
+
+def positions(rows: DataFrame, order: list[str], name: str = "position", partitions: int | None = None) -> DataFrame:
+    """Number the rows from 0 in ``order``, which must tell them apart: range partitions, and an offset for each.
+
+    The sorted rows are stored once, so that both passes see the same partitions.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "positions")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    place = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
+    return ranged.withColumn("_rn", within).join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_part", "_rn", "_before")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.vectors import number
 from graphloom.operators import views
+from graphloom.operators.order import positions, running
 from graphloom.sources.io import stored
 
 
@@ -27,18 +28,9 @@ def random_seeds(triples: DataFrame, n: int = 800, seed: int = 1) -> DataFrame:
 
 
 def dense_ids(names: DataFrame, column: str = "name", partitions: int | None = None) -> DataFrame:
-    """Ids from 0 in order of the names, by range partitions and their offsets: no single sorting task.
-
-    The sorted names are written to the shared folder once, so both passes see the same partitions.
-    """
+    """Ids from 0 in order of the names, by range partitions and their offsets: no single sorting task."""
     spread = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
-    n = partitions or int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(spread.repartitionByRange(n, "name").select("name", F.spark_partition_id().alias("part")), "dense-ids")
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("part", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("name"))
-    return ranged.withColumn("rn", within).join(F.broadcast(offsets), "part").select("name", (F.col("before") + F.col("rn") - 1).cast("bigint").alias("id"))
+    return positions(spread, ["name"], "id", partitions)
 
 
 def append_names(dictionary: DataFrame, names: DataFrame) -> DataFrame:
@@ -64,16 +56,35 @@ def graph_size(triples: DataFrame) -> DataFrame:
     return nodes.crossJoin(F.broadcast(triples.select("head", "tail").distinct().agg(F.count(F.lit(1)).alias("edges"))))
 
 
-def sample_types(types: DataFrame, sampled: DataFrame, ratios: DataFrame, margin: float = 0.1, seed: int = 1) -> DataFrame:
+def least(rows: DataFrame, size: DataFrame, order: list[str], limits: tuple[int, ...] = (64, 4096)) -> DataFrame:
+    """The first k rows of each entity in ``order``, which tells them apart; ``size`` is (entity, k), k a number of its own for each.
+
+    Entities fall into classes by k.  Up to a limit their ranks are cut at it before the shuffle, so a task sends no more
+    rows of an entity than the limit; beyond the last one, places go by range partitions. Runs a job over ``size``.
+    """
+    sized = rows.join(size.select("entity", "k"), "entity")
+    w = Window.partitionBy("entity").orderBy(*order)
+    out, above = None, 0
+    for limit in limits:
+        some = sized.filter((F.col("k") > above) & (F.col("k") <= limit)).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+        some = some.filter(F.col("_rn") <= F.col("k")).select(*rows.columns)
+        out, above = some if out is None else out.unionByName(some), limit
+    if size.filter(F.col("k") > above).isEmpty():
+        return out
+    large = sized.filter(F.col("k") > above).withColumn("_o", F.struct(*order)).withColumn("_one", F.lit(1))
+    large = running(large, ["entity"], "_o", "_one", "_place").filter(F.col("_place") < F.col("k")).select(*rows.columns)
+    return out.unionByName(large)
+
+
+def sample_types(types: DataFrame, sampled: DataFrame, ratios: DataFrame, margin: float = 0.1, seed: int = 1, limits: tuple[int, ...] = (64, 4096)) -> DataFrame:
     """Weighted, without replacement: the greatest ln(u) / weight, of size min(int((ratio + margin) * degree), n)."""
     mine = types.join(views.universe(sampled), "entity", "left_semi").distinct()
     size = node_degrees(sampled).join(ratios.select("entity", "type_kg_ratio"), "entity", "left")
     size = size.select("entity", F.floor((F.coalesce("type_kg_ratio", F.lit(0.0)) + margin) * F.col("degree")).alias("k"))
     weights = type_weights(types.join(views.universe(sampled), "entity", "left_semi"))
     key = F.round(-F.log(draw(seed, "entity", "type")) / F.col("weight"), 9)
-    order = Window.partitionBy("entity").orderBy("key", "type")
-    ranked = mine.join(weights, "type").withColumn("key", key).withColumn("rn", F.row_number().over(order))
-    return ranked.join(size, "entity").filter("rn <= k").select("entity", "type")
+    keyed = stored(mine.join(weights, "type").select("entity", "type", key.alias("key")), "type-keys")
+    return least(keyed, stored(size, "type-sizes"), ["key", "type"], limits).select("entity", "type")
 
 
 def fixed_sample(rows: DataFrame, keys: list[str], k: int, seed: int = 1) -> DataFrame:
@@ -100,27 +111,34 @@ def capped(rows: DataFrame, keys: list[str], cap: int, seed: int = 1) -> DataFra
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
-def walk(triples: DataFrame, seeds: DataFrame, length: int = 7, restart: float = 0.7, sample_size: int | None = 100_000, seed: int = 1) -> DataFrame:
+def adjacency(triples: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The out-edges of the collapsed graph as a compressed index: (position, tail) in order of (head, tail), and (head, first, deg).
+
+    Neighbour i of a head stands at position first + i.  Positions go by range partitions, so no task sees a whole head.
+    Both tables are stored.
+    """
+    edges = stored(positions(triples.select("head", "tail").distinct(), ["head", "tail"], "position", partitions), "edges")
+    heads = edges.groupBy("head").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("deg"))
+    return edges.select("position", "tail"), stored(heads, "heads")
+
+
+def walk(triples: DataFrame, seeds: DataFrame, length: int = 7, restart: float = 0.7, sample_size: int | None = 100_000, seed: int = 1, partitions: int | None = None) -> DataFrame:
     """Nodes seen by random walks with restart, one walker a seed, all walkers a step at a time.
 
     At each step a walker restarts at a seed with probability ``restart`` or moves to an out-neighbour; without
-    one it stops.  Neighbours are picked by index, so no adjacency list is shipped.  ``sample_size`` keeps the
-    first nodes by (step, walker).  Adjacency is that of the collapsed graph.
+    one it stops.  Neighbours are picked by their position in ``adjacency``, so no list of them is shipped.
+    ``sample_size`` keeps the first nodes by (step, walker).  Adjacency is that of the collapsed graph.
     """
-    seeds = dense_ids(seeds, "entity").select(F.col("name").alias("entity"), F.col("id").alias("no"))
+    seeds = dense_ids(seeds, "entity", partitions).select(F.col("name").alias("entity"), F.col("id").alias("no"))
     n_seeds = seeds.count()
-    by_head = Window.partitionBy("head").orderBy("tail")
-    edges = triples.select("head", "tail").distinct()
-    edges = edges.withColumn("i", F.row_number().over(by_head) - 1).withColumn("deg", F.count(F.lit(1)).over(Window.partitionBy("head")))
-    edges = stored(edges, "walk-edges")
-    out_degree = edges.select(F.col("head").alias("at"), "deg").distinct()
+    edges, heads = adjacency(triples, partitions)
     now = stored(seeds.select(F.col("entity").alias("walker"), F.col("entity").alias("at")), "walk-step")
     seen = [now.select(F.col("at").alias("entity"), F.lit(0).alias("step"), "walker")]
     for step in range(1, length + 1):
         u = lambda what: draw(seed, "walker", F.lit(str(step)), F.lit(what))
-        moved = now.join(out_degree, "at", "left").withColumn("back", u("restart") < restart)
-        moved = moved.filter("back or deg is not null").withColumn("i", F.floor(u("edge") * F.col("deg")).cast("int")).withColumn("no", F.floor(u("seed") * n_seeds).cast("bigint"))
-        ahead = moved.filter("not back").join(edges.select(F.col("head").alias("at"), "i", "tail"), ["at", "i"]).select("walker", F.col("tail").alias("at"))
+        moved = now.join(heads.withColumnRenamed("head", "at"), "at", "left").withColumn("back", u("restart") < restart)
+        moved = moved.filter("back or deg is not null").withColumn("position", F.col("first") + F.floor(u("edge") * F.col("deg"))).withColumn("no", F.floor(u("seed") * n_seeds).cast("bigint"))
+        ahead = moved.filter("not back").join(edges, "position").select("walker", F.col("tail").alias("at"))
         again = moved.filter("back").join(seeds, "no").select("walker", F.col("entity").alias("at"))
         now = stored(ahead.unionByName(again), "walk-step")
         seen.append(now.select(F.col("at").alias("entity"), F.lit(step).alias("step"), "walker"))

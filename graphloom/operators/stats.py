@@ -35,15 +35,19 @@ def describe(values: DataFrame) -> DataFrame:
     return out.select("name", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "max")
 
 
-def neighbourhood_statistics(triples: DataFrame, types: DataFrame, max_degree: int | None = None) -> DataFrame:
-    """A5: neighbours, direct types, 2-hop neighbours (over mids of ``max_degree`` edges at most) and neighbour types per entity."""
+def neighbourhood_statistics(triples: DataFrame, types: DataFrame, max_degree: int | None = None, exact_pairs: int = 1 << 16, precision: int = 12) -> DataFrame:
+    """A5: neighbours, direct types, 2-hop neighbours and neighbour types per entity.
+
+    Two-hop neighbours are counted by ``hops.two_hop_counts``, which is exact for entities of ``exact_pairs`` paths or 2 **
+    ``precision`` neighbours at most; with ``max_degree``, pair by pair over mids of as many edges at most.
+    """
     from graphloom.operators.features import neighbour_counts
 
     count = lambda df: df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     parts = {
         "neighbours": neighbour_counts(triples).select(F.col("neighbours").alias("n")),
         "direct types": count(types),
-        "two-hop neighbours": count(hops.two_hop_entities(triples, max_degree)),
+        "two-hop neighbours": hops.two_hop_counts(triples, exact_pairs, precision) if max_degree is None else count(hops.two_hop_entities(triples, max_degree)),
         "neighbour types": hops.out_neighbour_types(triples, types).groupBy("entity").agg(F.countDistinct("type").alias("n")),
     }
     rows = functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name"), F.col("n").alias("value")) for name, df in parts.items()])

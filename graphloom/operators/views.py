@@ -48,15 +48,15 @@ def typed_in_graph(types: DataFrame, triples: DataFrame) -> DataFrame:
     return types.join(universe(triples), "entity", "left_semi")
 
 
-def low_degree(degrees: DataFrame, q: float = 0.1) -> DataFrame:
-    """Both degrees at most their quantile. Stores the degrees, which are read twice."""
-    degrees = stored(degrees, "degrees")
+def low_degree(degrees: DataFrame, q: float = 0.1, keep: bool = True) -> DataFrame:
+    """Both degrees at most their quantile. Stores the degrees, which are read twice, unless told that they are stored (``keep``)."""
+    degrees = stored(degrees, "degrees") if keep else degrees
     return degrees.crossJoin(F.broadcast(_quantiles(degrees, q))).filter("kg_degree <= _k and et_degree <= _e").drop("_k", "_e")
 
 
-def high_degree(degrees: DataFrame, q: float = 0.8) -> DataFrame:
-    """Both degrees above their quantile. Stores the degrees, which are read twice."""
-    degrees = stored(degrees, "degrees")
+def high_degree(degrees: DataFrame, q: float = 0.8, keep: bool = True) -> DataFrame:
+    """Both degrees above their quantile. Stores the degrees as P6 does."""
+    degrees = stored(degrees, "degrees") if keep else degrees
     return degrees.crossJoin(F.broadcast(_quantiles(degrees, q))).filter("kg_degree > _k and et_degree > _e").drop("_k", "_e")
 
 

@@ -272,8 +272,8 @@ leastt_ as (select *, row_number() over (partition by entity order by sim, type)
 @query("A22_noise_frequency", f"with {_LEAST}, {_LEASTT} select 'relation' as kind, relation as name, count(*) as frequency from least_ where rn <= 5 and n > 1 group by relation union all select 'type', type, count(*) from leastt_ where rn <= 5 and n > 1 group by type")
 def _(kg):
     named = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"), "frequency")
-    relations = features.noise_frequency(kg.vectors(_facts(kg)), "relation", ["relation", "other", "direction"])
-    return named("relation", relations).unionByName(named("type", features.noise_frequency(kg.vectors(_typed(kg)), "type", ["type"])))
+    relations = features.noise_frequency(kg.vectors(_facts(kg)), "relation", ["relation", "other", "direction"], size=64)
+    return named("relation", relations).unionByName(named("type", features.noise_frequency(kg.vectors(_typed(kg)), "type", ["type"], size=64)))
 
 
 @query(
@@ -325,7 +325,7 @@ def _low(kg):
 
 def _centre(kg):
     near = _facts(kg, DENY).select("entity", "sentence").unionByName(_typed(kg).select("entity", "sentence"))
-    return features.centroid(kg.vectors(near.join(_low(kg), "entity", "left_semi")))
+    return features.centroid(kg.vectors(near.join(_low(kg), "entity", "left_semi")), size=64)
 
 
 def _far(kg):
@@ -338,7 +338,7 @@ def _(kg):
 
 
 def _augmented(kg, concat=False):
-    return augment.augment(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, DENY, concat=concat)
+    return augment.augment(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, DENY, concat=concat, size=64)
 
 
 @query("W2_top_facts", f"with {_NEAR}, {_FARV}, {_BUDGET}, {_CHOSEN} select entity, relation, other, direction, round(sim, 6) as sim from arcs")
@@ -353,7 +353,7 @@ def _(kg):
 
 @query("W4_least_coherent", f"with {_LEAST} select entity, relation, other, direction, round(sim, 6) as sim from least_ where rn <= ceil(n * 0.05)")
 def _(kg):
-    return features.least_coherent(kg.vectors(_facts(kg)), ["relation", "other", "direction"]).select(*ARC, r6("sim"))
+    return features.least_coherent(kg.vectors(_facts(kg)), ["relation", "other", "direction"], size=64).select(*ARC, r6("sim"))
 
 
 def _counts(kg):
@@ -405,7 +405,7 @@ gonet as (select * from st qualify row_number() over (partition by entity order
 
 
 def _suppressed(kg, **options):
-    return augment.suppress(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, **options)
+    return augment.suppress(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, size=64, **options)
 
 
 @query("G2_suppress", f"with {_suppress_sql()} select 'fact' as kind, entity, relation || ' ' || other || ' ' || direction as what from gonef union all select 'type', entity, type from gonet")
@@ -498,7 +498,7 @@ _ARCHIVE = """budget as (select entity, k, t, (round_even(lk * (1 - k / (lk + 1)
     f"union all select 'added_triples', * from ({_BACK} arcs) union all select 'added_types', entity, type, null from newtypes",
 )
 def _(kg):
-    added = augment.augment(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, DENY, budgets=select.budgets_archive)
+    added = augment.augment(kg.triples, kg.train, kg.relation_text, kg.type_text, kg.entity_desc, kg.vectors, DENY, budgets=select.budgets_archive, size=64)
     return long_rows(datasets.direct(kg.triples, kg.train, added, _suppressed(kg, q=0.9, fraction=0.1)))
 
 
