@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from graphloom.functions import vectors
 from graphloom.operators import views
 from graphloom.operators.order import running
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
 
 
 def degrees(triples: DataFrame, types: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import views
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
 
 #: Rows of either side that one tile pairs.
 TILE = 1 << 12

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
+
+#: Items that one row holds at most.
+PART = 1 << 16
 
 
 def running(cells: DataFrame, keys: list[str], order: str, count: str, name: str, partitions: int | None = None) -> DataFrame:
@@ -38,3 +41,17 @@ def positions(rows: DataFrame, order: list[str], name: str = "position", partiti
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     place = (F.col("_before") + F.col("_rn") - 1).cast("bigint")
     return ranged.withColumn("_rn", within).join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_part", "_rn", "_before")
+
+
+def parted(rows: DataFrame, order: list[str], size: int = PART) -> DataFrame:
+    """Add ``part``: entities of more than ``size`` rows are cut into runs of as many in ``order``, numbered from 0; the others are part 0.
+
+    Grouping by (entity, part) then gives rows of a bounded length.  Runs jobs: rows are counted, and those of large
+    entities placed by range partitions.
+    """
+    large = stored(rows.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select("entity"), "large")
+    if large.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    keyed = rows.join(large, "entity", "left_semi").withColumn("_o", F.struct(*order, F.monotonically_increasing_id())).withColumn("_one", F.lit(1))
+    cut = running(keyed, ["entity"], "_o", "_one", "_place").select(*rows.columns, F.floor(F.col("_place") / size).cast("int").alias("part"))
+    return rows.join(large, "entity", "left_anti").withColumn("part", F.lit(0)).unionByName(cut)

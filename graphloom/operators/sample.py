@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions import text
 from graphloom.functions.vectors import number
 from graphloom.operators import views
 from graphloom.operators.order import positions, running
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
 
 
 def draw(seed: int, *keys: Column | str) -> Column:
@@ -111,6 +112,23 @@ def capped(rows: DataFrame, keys: list[str], cap: int, seed: int = 1) -> DataFra
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
+def second_hop_sample(rows: DataFrame, keys: list[str], first: int, second: int, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
+    """``second`` rows of each entity that is the ``other`` of ``first`` sampled rows of any entity."""
+    reached = fixed_sample(rows, keys, first, seeds[0]).select(F.col("other").alias("entity")).distinct()
+    return fixed_sample(rows.join(reached, "entity", "left_semi"), keys, second, seeds[1])
+
+
+def pair_sample(types: DataFrame, triples: DataFrame, k: int = 6, seed: int = 1) -> DataFrame:
+    """K (cluster, type) pairs of each entity as ids of their dictionaries, shifted by the numbers of relations and entities."""
+    kinds = dense_ids(types, "type").select(F.col("name").alias("type"), F.col("id").alias("_t"))
+    clusters = types.select(text.cluster(F.col("type")).alias("_c"))
+    clusters = dense_ids(clusters, "_c").select(F.col("name").alias("_c"), F.col("id").alias("_k"))
+    size = views.universe(triples).agg(F.count(F.lit(1)).alias("_E")).crossJoin(triples.agg(F.countDistinct("relation").alias("_R")))
+    rows = types.withColumn("_c", text.cluster(F.col("type"))).join(kinds, "type").join(clusters, "_c").crossJoin(F.broadcast(size))
+    rows = rows.select("entity", (F.col("_k") + F.col("_R")).alias("cluster"), (F.col("_t") + F.col("_E")).alias("type"))
+    return fixed_sample(rows, ["cluster", "type"], k, seed)
+
+
 def adjacency(triples: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The out-edges of the collapsed graph as a compressed index: (position, tail) in order of (head, tail), and (head, first, deg).
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators import hops, views
 from graphloom.operators.order import running
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
 
 
 def quantiles(values: DataFrame, keys: list[str], points: list[float], column: str = "value") -> DataFrame:
@@ -170,11 +172,12 @@ def skewness(df: DataFrame, metrics: list[str], alpha: float = 0.05) -> DataFram
     return g.select("metric", n.cast("long").alias("n"), "skew", k2.alias("k2"), p.alias("p"), (F.abs("skew") > 1).alias("skewed"), (p < alpha).alias("not_normal"))
 
 
-def mann_whitney(df: DataFrame, metrics: list[str], partitions: int | None = None) -> DataFrame:
-    """U of the rows with y = 1 against y = 0, tie-corrected z with continuity correction, two-sided p.
+def mann_whitney(df: DataFrame, metrics: list[str], partitions: int | None = None, exact_size: int = 8, exact_cells: int = 10_000_000) -> DataFrame:
+    """U of the rows with y = 1 against y = 0, tie-corrected z with continuity correction, two-sided p, and whether p is exact.
 
     Equal values are grouped first; cumulative counts of the distinct values go by range partitions with offsets, so
-    no task sorts a whole metric.
+    no task sorts a whole metric.  Without ties and with ``exact_size`` rows or fewer on one side, p comes from the null
+    distribution of U itself, as long as the product of both sides is ``exact_cells`` at most; else from z.
     """
     v = long_form(df, metrics, ["y"]).filter("value is not null and y is not null")
     cells = v.groupBy("metric", "value").agg(F.sum((F.col("y") == 0).cast("long")).alias("n0"), F.sum((F.col("y") == 1).cast("long")).alias("n1"))
@@ -187,7 +190,35 @@ def mann_whitney(df: DataFrame, metrics: list[str], partitions: int | None = Non
     total = a + b
     sd = F.sqrt(a * b / 12 * (total + 1 - F.col("ties") / (total * (total - 1))))
     z = (F.abs(F.col("u") - a * b / 2) - 0.5) / sd
-    return g.select("metric", "u", "n0", "n1", z.alias("z"), erfc(z / math.sqrt(2.0)).alias("p"))
+    exact = (F.col("ties") == 0) & (F.least("n0", "n1") <= exact_size) & (a * b <= exact_cells) & (a * b > 0)
+    rows = g.select("metric", "u", "n0", "n1", z.alias("z"), F.least(erfc(z / math.sqrt(2.0)), F.lit(1.0)).alias("p"), exact.alias("exact"))
+
+    def precise(batches):
+        for batch in batches:
+            names = ("exact", "u", "n0", "n1", "p")
+            p = [exact_mann_whitney(u, n0, n1) if e else p for e, u, n0, n1, p in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()) if n == "p" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return rows.mapInArrow(precise, rows.schema)
+
+
+def exact_mann_whitney(u: float, n0: int, n1: int) -> float:
+    """Two-sided p of U for two samples without ties.
+
+    The number of orders with each U is a Gaussian binomial coefficient's; its factors (1 - q^(n + i)) / (1 - q^i) are
+    applied one after the other to the counts up to the smaller of both tails.
+    """
+    m, n = sorted((n0, n1))
+    counts = np.zeros(int(min(u, n0 * n1 - u)) + 1)
+    counts[0] = 1.0
+    for i in range(1, m + 1):
+        rows = -(-len(counts) // i)
+        steps = np.zeros(rows * i)
+        steps[: len(counts)] = counts
+        counts = steps.reshape(rows, i).cumsum(0).ravel()[: len(counts)]
+        if n + i < len(counts):
+            counts[n + i :] -= counts[: -(n + i)].copy()
+    return min(1.0, 2 * float(counts.sum()) / math.comb(n + m, m))
 
 
 def erfc(x: Column) -> Column:

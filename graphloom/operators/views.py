@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import SEP
-from graphloom.sources.io import stored
+from graphloom.sources.storage import stored
 
 
 def drop_self_loops(triples: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vectors
-from graphloom.operators import datasets, hops, sample, stats, views
+from graphloom.operators import datasets, hops, records, sample, stats, views
 from graphloom.sources import io
 from graphloom.testkg import DENY, KG, num, sql
 
@@ -69,7 +69,7 @@ def _(kg):
 @query("S5_entity_json", "select * from etxt")
 def _(kg):
     obj = F.map_from_arrays(F.array("entity"), F.array(F.struct("label", "description")))
-    return _again(kg, "s5", kg.entity_text.select(F.to_json(obj, {"ignoreNullFields": "false"}).alias("value")), io.write_lines, io.read_entity_json)
+    return _again(kg, "s5", kg.entity_text.select(F.to_json(obj, {"ignoreNullFields": "false", "pretty": "true"}).alias("value")), io.write_lines, io.read_entity_json)
 
 
 @query("S6_relation_text", "select relation as name, text from rtxt union all select type, text from ttxt")
@@ -391,8 +391,7 @@ def _(kg):
 
 @query("C4_texts_by_id", "select row_number() over (order by u.entity) - 1 as id, d.text from universe u join edesc d using (entity)")
 def _(kg):
-    ids = sample.dense_ids(views.universe(kg.triples), "entity")
-    return ids.join(kg.entity_desc.withColumnRenamed("entity", "name"), "name").select("id", "text")
+    return records.texts_by_id(sample.dense_ids(views.universe(kg.triples), "entity"), kg.entity_desc)
 
 
 @query("C5_relation_text", "select * from rtxt")
@@ -431,7 +430,7 @@ def _(kg):
     return _ranks(kg).select("entity", parts[0].alias("type"), parts[1].cast("bigint").alias("rank"))
 
 
-@query("S13_rank_log", f"with {RANKS} select * from ranks")
+@query("S13_rank_log", f"with {RANKS} select entity, type, rank::double as rank from ranks")
 def _(kg):
     return _again(kg, "s13", io.rank_lines(_ranks(kg)), io.write_lines, io.read_ranks)
 

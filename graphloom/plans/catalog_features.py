@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import vectors
+from graphloom.functions import embeddings, vectors
 from graphloom.operators import augment, datasets, features, hops, sample, select, stats, views
 from graphloom.plans.catalog import ARC, C2, COMPOSED, COUNTS, HOP2, RANKS, _degrees, _ranks, query, r6
 from graphloom.plans.catalog_records import long_rows, record_ctes
@@ -517,6 +517,13 @@ def _(kg):
     return vectors.encode(_facts(kg)).select("sentence", F.size("vector").alias("size"), r6(vectors.norm(F.col("vector")), "norm"))
 
 
+@query("G14_learnt_encoder", None)
+def _(kg):
+    near = io.stored(_facts(kg).select("sentence").unionByName(_typed(kg).select("sentence")), "sentences")
+    out = embeddings.encode(near, embeddings.train(near))
+    return out.select("sentence", F.size("vector").alias("size"), r6(vectors.norm(F.col("vector")), "norm"))
+
+
 @query(
     "G15_ego_network",
     "with c as (select distinct entity as centre from test), e as (select head as centre, relation, tail as node, 1 as r from triples join c on c.centre = head union all select entity, 'has_type', type, 2 from train join c on c.centre = entity union all select entity, 'has_type', type, 3 from test), "

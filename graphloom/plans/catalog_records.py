@@ -80,9 +80,7 @@ def _(kg):
 
 @query("W15_second_hop_sample", f"with {_fixed('ev', _EV, 3, 1)}, one as (select distinct other as entity from fixed), ev2 as (select ev.* from ev semi join one using (entity)), {_fixed('ev2', _EV, 2, 2).replace('rk as', 'rk2 as').replace('from rk', 'from rk2').replace('draws as', 'draws2 as').replace('join draws', 'join draws2').replace('rk.', 'rk2.').replace('fixed as', 'fixed2 as')} select entity, relation, other, direction, slot from fixed2")
 def _(kg):
-    e = views.edge_view(kg.triples)
-    one = sample.fixed_sample(e, _EV, 3, 1).select(F.col("other").alias("entity")).distinct()
-    return sample.fixed_sample(e.join(one, "entity", "left_semi"), _EV, 2, 2).withColumn("slot", F.col("slot").cast("bigint"))
+    return sample.second_hop_sample(views.edge_view(kg.triples), _EV, 3, 2).withColumn("slot", F.col("slot").cast("bigint"))
 
 
 _IDS = f"""ucl as (select distinct {C2} as name from train), ids as (
@@ -95,12 +93,7 @@ pairs6 as (select entity, c.id + (select count(distinct relation) from triples)
 
 @query("W16_pair_sample", f"with {_IDS}, {_fixed('pairs6', ['cluster', 'type'], 6, 1)} select entity, cluster, type, slot from fixed")
 def _(kg):
-    types = sample.dense_ids(kg.train, "type").select(F.col("name").alias("type"), F.col("id").alias("t"))
-    clusters = sample.dense_ids(kg.train.select(text.cluster(F.col("type")).alias("c")), "c").select(F.col("name").alias("c"), F.col("id").alias("k"))
-    size = views.universe(kg.triples).agg(F.count(F.lit(1)).alias("E")).crossJoin(kg.triples.agg(F.countDistinct("relation").alias("R")))
-    rows = kg.train.withColumn("c", text.cluster(F.col("type"))).join(types, "type").join(clusters, "c").crossJoin(F.broadcast(size))
-    rows = rows.select("entity", (F.col("k") + F.col("R")).alias("cluster"), (F.col("t") + F.col("E")).alias("type"))
-    return sample.fixed_sample(rows, ["cluster", "type"], 6).withColumn("slot", F.col("slot").cast("bigint"))
+    return sample.pair_sample(kg.train, kg.triples).withColumn("slot", F.col("slot").cast("bigint"))
 
 
 # --- walks -----------------------------------------------------------------------------------------------------------------
@@ -172,15 +165,27 @@ def _coded(kg):
     return records.encode_rows(records.parse_records(_records(kg)), *ids)
 
 
-@query(
-    "G8_encoded_records",
-    f"with {_CODE} select de.id as entity_id, 'type' as part, de.id as a, dc.id + R as b, dt.id + E as c from rt join de on de.name = rt.entity join dc on dc.name = {C2.replace('type', 'rt.tail')} join dt on dt.name = rt.tail, nn "
-    "union all select de.id, 'fact', de.id, dr.id + case when starts_with(rf2.name, 'inv-') then R + C else 0 end, z.id from rf2 join de on de.name = rf2.entity join dr on dr.name = case when starts_with(rf2.name, 'inv-') then rf2.name[5:] else rf2.name end join de z on z.name = rf2.tail, nn",
+_ENCODED = (
+    f"select de.id as entity_id, 'type' as part, de.id as a, dc.id + R as b, dt.id + E as c from rt join de on de.name = rt.entity join dc on dc.name = {C2.replace('type', 'rt.tail')} join dt on dt.name = rt.tail, nn "
+    "union all select de.id, 'fact', de.id, dr.id + case when starts_with(rf2.name, 'inv-') then R + C else 0 end, z.id from rf2 join de on de.name = rf2.entity join dr on dr.name = case when starts_with(rf2.name, 'inv-') then rf2.name[5:] else rf2.name end join de z on z.name = rf2.tail, nn"
 )
+
+
+@query("G8_encoded_records", f"with {_CODE} {_ENCODED}")
 def _(kg):
     return _coded(kg)
 
 
+def _triples_of(part: str) -> str:
+    return f"coalesce('[' || string_agg('[' || a || ',' || b || ',' || c || ']', ',' order by a, b, c) filter (where part = '{part}') || ']', '[]')"
+
+
+@query("G8_nested_records", f"with {_CODE}, coded as ({_ENCODED}) select entity_id as ent, {_triples_of('type')} as et, {_triples_of('fact')} as kg from coded group by 1")
+def _(kg):
+    out = records.encoded_records(_coded(kg))
+    return out.select("ent", F.to_json("et").alias("et"), F.to_json("kg").alias("kg"))
+
+
 @query("J16_second_hop_records", f"with {REC}, {_fixed('ev', _EV, 7, 1)}, asked as (select distinct other from fixed union select 'nobody') select other, coalesce(line, 'none') as record, (line is not null)::int as mask from asked left join lines on lines.entity = other")
 def _(kg):
     asked = sample.fixed_sample(views.edge_view(kg.triples), _EV, 7).select("other").distinct()
