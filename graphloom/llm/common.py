@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from graphloom.sources import storage
+from graphloom.sources.storage import discard, shared_dir  # noqa: F401
+
 #: The six ASCII white-space characters that separate words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Regular expression of one word.
@@ -47,17 +48,6 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; where a local session names none, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -67,16 +57,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the finished write are freed at once, so disk holds one step's shuffles at a time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        return storage.stored(df, name)
     finally:
         spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
@@ -85,13 +71,6 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("key"), row), name)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote, once nothing will read it again."""
-    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(table._stored_at)
-    where.getFileSystem(conf).delete(where, True)
-
-
 def numbered_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``docs`` with its first column ``id`` as whole numbers called ``doc``, and (doc, id) to turn them back; None if ids were numbers.
 

@@ -384,6 +384,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("name").alias("component_id"))
 
 
+def first_keys(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key) of the first row of each component among ``keyed`` rows: the smallest id, rows without one last, then the smallest key."""
+    found = jaccard_components(rows.select("key", F.col("row")[text_col].alias("text")), "key", "text")
+    ids = rows.select("key", F.col("row")[id_col].alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    return found.join(ids, "key").groupBy("component_id").agg(first).select("first.key")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one of the smallest id.
 
@@ -391,11 +399,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that share the smallest id, or have none, the first in the table stays.
     """
     rows = keyed(docs, "join-rows")
-    found = jaccard_components(rows.select("key", F.col("row")[text_col].alias("text")), "key", "text")
-    ids = rows.select("key", F.col("row")[id_col].alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    kept = found.join(ids, "key").groupBy("component_id").agg(first).select("first.key")
-    return rows.join(kept, "key", "left_semi").select("row.*")
+    return rows.join(first_keys(rows, id_col, text_col), "key", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
