@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, line_dedup, mixing, quality_rules, sentencepiece_wfst
-from graphloom.llm.common import read, stored, words
+from graphloom.llm.common import keyed, read, stored, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,7 +16,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the lines that fail a rule go from the others.  Ids play no part."""
+    """Rejected documents go; the lines that fail a rule go from the others.  Ids play no part; null and empty texts have no words and go."""
     rows = quality_rules.quality(docs).select("doc_id", "lang", "source", F.struct("quality.kept", "quality.clean_text").alias("q"))
     # A generator between rules and filter: the optimiser would otherwise evaluate the rules for each of the two.
     rows = rows.select("doc_id", "lang", "source", F.explode(F.array("q")).alias("q")).filter("q.kept")
@@ -24,16 +24,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_kept_pct: int = 50) -> DataFrame:
-    """Lines that other documents hold go, except where they stand first; so do documents that lose more than half of their words.
+    """Lines that other documents hold go, except where they stand first; all other lines of a document stay.
 
-    What such a document holds stands in others, and a rest of it would hide a copy from the stages behind.  Other rows
-    stay one for one with their own columns, also those without words; a row without an id keeps its lines, rows that
-    repeat an id are alike.
+    A rest of a near copy would hide it from the stage behind.  So where a document loses more than half of its words,
+    it goes itself, but only if it is a near copy of one that stays: links are those of the join, judged on the texts
+    before any line goes, and the first of each component always stays.  Documents without such a link keep what is
+    theirs, however little, or nothing.  Rows stay one for one with their own columns; a row without an id keeps its
+    lines, rows that repeat an id are alike; null and empty texts are one empty line.
     """
-    sized = docs.withColumn("n_words", F.size(words(F.coalesce(F.col("text"), F.lit("")))))
-    lines = line_dedup.dedup_lines(sized, carry=("lang", "source", "n_words"))
+    rows = keyed(docs, "line-rows")
+    first = stored(jaccard_join.first_keys(rows).withColumn("first", F.lit(True)), "line-firsts")
+    sized = rows.select("key", "row.*").withColumn("n_words", F.size(words(F.coalesce(F.col("text"), F.lit("")))))
+    lines = line_dedup.dedup_lines(sized, carry=("key", "lang", "source", "n_words"))
     left = F.when(F.col("n_dropped") == 0, F.col("n_words")).otherwise(F.size(words(F.col("kept_text"))))
-    return _documents(lines.filter(100 * left >= min_kept_pct * F.col("n_words")).withColumnRenamed("kept_text", "text"))
+    lines = lines.join(first, "key", "left").filter(F.col("first") | (100 * left >= min_kept_pct * F.col("n_words")))
+    return _documents(lines.withColumnRenamed("kept_text", "text"))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row of the mix as piece ids.  Ids play no part."""
+    """Every row of the mix as piece ids.  Ids play no part; a null text counts as empty and has none."""
     return sentencepiece_wfst.encode(docs)
 
 
@@ -63,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each result written and read again."""
+    """The stages applied to ``documents``, each result written and read again.
+
+    Null ids, repeated ids and repeated rows pass as the stages say; an empty table gives an empty result; columns other
+    than those of documents are not carried.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
