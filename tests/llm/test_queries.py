@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from test_operators import brute_repeats
 
-from graphloom.llm import registry, sentencepiece_wfst
+import corpus_pipeline
+from graphloom.llm import common, jaccard_join, line_dedup, registry, sentencepiece_wfst
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -91,3 +92,19 @@ def test_op9_offsets_and_families(spark, table):
         assert got[i].n_confirmed + got[i].n_unknown == len(got[i].found)
     licensed = sum("Apache License" in t or "MIT License" in t or "All rights reserved" in t for _, t, _ in table)
     assert np.sign(found) == np.sign(licensed)
+
+
+def test_no_component_vanishes_in_the_line_stage(spark):
+    """Over a whole table: of every component of near copies at least one document stays, and hardly a copy reaches the mix."""
+    sf = "/root/testdata/sf0.01"
+    docs = common.stored(corpus_pipeline.quality_stage(spark, common.read(spark, sf, "documents"), sf), "quality")
+    component = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    kept = common.stored(corpus_pipeline.line_stage(spark, docs, sf), "lines")
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert {component[i] for i in left} == set(component.values())
+    # Who is alone in its component keeps every line that dedup leaves.
+    alone = {i for i, c in component.items() if list(component.values()).count(c) == 1}
+    lines = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(left[i] == lines[i] for i in left) and alone <= left.keys()
+    mixed = [r.doc_id for r in corpus_pipeline.join_stage(spark, kept, sf).collect()]
+    assert len(mixed) - len({component[i] for i in mixed}) <= 7
