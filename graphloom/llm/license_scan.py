@@ -1,12 +1,14 @@
 """License scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-Paragraphs are lines cut at sentence ends.  Their features are hashed word 1- and 2-grams; a softmax regression over
-licence families, "unknown" (speaks like a licence, names none of the families) and "none" is trained here, on the
-driver, from the templates below and a bounded sample of paragraphs.  The templates are dealt into folds, whole ones to
-each; a temperature that makes the probabilities honest for templates never seen is fitted on what models of the other
-folds say of each fold.  A prediction counts if the paragraph shares enough word trigrams with a template of that family
-and not more with one of another, which tells the GPL, LGPL and AGPL apart.  Scoring is one pass over whole texts in
-numpy: gather the weights, add them up by paragraph.
+A text is read twice: by lines cut at sentence ends, and by sentences that run on over wrapped and comment-prefixed
+lines to a blank line.  Features are hashed word 1- and 2-grams; a softmax regression over licence families, "unknown"
+(speaks like a licence, names none of the families) and "none" is trained here, on the driver, from the templates and
+names below, whole, in fragments and among other words, and a bounded sample of paragraphs.  The templates are dealt
+into folds, whole ones to each; a temperature that makes the probabilities honest for templates never seen is fitted on
+what models of the other folds say of each fold.  A prediction counts if the paragraph shares enough word trigrams with
+a template of that family and not more with one of another, which tells the GPL, LGPL and AGPL apart, or if it calls the
+family by one of its names in the words of a notice.  Scoring is one pass over whole texts in numpy: gather the weights,
+add them up by paragraph.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from graphloom.llm.common import read
 TEMPLATES = {
     "agpl": [
         "licensed under the GNU Affero General Public License version 3",
-        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "released under the AGPL 3.0 license",
         "You should have received a copy of the GNU Affero General Public License along with this program",
         "See the GNU Affero General Public License for more details",
@@ -91,7 +93,7 @@ TEMPLATES = {
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3",
-        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "either version 2 of the License, or (at your option) any later version of the GNU GPL",
         "released under the GPL version 2 license",
         "You should have received a copy of the GNU General Public License along with this program",
@@ -106,7 +108,7 @@ TEMPLATES = {
     ],
     "lgpl": [
         "licensed under the GNU Lesser General Public License version 2.1",
-        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "This library is distributed in the hope that it will be useful under the GNU LGPL",
         "You should have received a copy of the GNU Lesser General Public License along with this library",
         "See the GNU Lesser General Public License for more details",
@@ -146,6 +148,30 @@ TEMPLATES = {
         "licensed under the zlib license",
     ],
 }
+#: What licences are called, in identifiers and in prose.
+NAMES = {
+    "agpl": ["AGPL", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "GNU Affero General Public License", "Affero GPL"],
+    "apache": ["Apache", "Apache-2.0", "Apache 2.0", "Apache License", "Apache License 2.0", "Apache Software License", "ASL 2.0"],
+    "bsd": ["BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSD License", "3-clause BSD", "2-clause BSD", "New BSD License", "Simplified BSD License"],
+    "boost": ["BSL-1.0", "Boost Software License", "Boost License"],
+    "cc-by": ["CC-BY-4.0", "CC-BY-3.0", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC-BY-NC-3.0", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC-BY-SA-3.0", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike"],
+    "cc0": ["CC0", "CC0-1.0", "CC0 1.0", "Creative Commons Zero"],
+    "epl": ["EPL", "EPL-1.0", "EPL-2.0", "Eclipse Public License"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GNU GPL", "GNU General Public License", "General Public License"],
+    "isc": ["ISC", "ISC License"],
+    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "GNU LGPL", "GNU Lesser General Public License", "GNU Library General Public License"],
+    "mit": ["MIT", "MIT License", "MIT licence", "Expat License"],
+    "mpl": ["MPL", "MPL-2.0", "MPL 2.0", "MPL-1.1", "Mozilla Public License"],
+    "unlicense": ["Unlicense", "The Unlicense"],
+    "zlib": ["Zlib", "zlib License", "zlib/libpng License"],
+}
+#: How a notice leads to a name.
+NOTICES = [
+    "SPDX-License-Identifier: {}", "License: {}", "license = {}", "Licence: {}", "licensed under the {}", "licensed under {}", "released under the {} license", "distributed under the terms of the {}",
+    "this is free software under {} or later", "available under the {}", "see the {} for details", "covered by the {} license", "under {}",
+]
 #: Parts of licence-like sentences that name no known family.
 UNKNOWN_VERBS = ["licensed under the", "distributed under the", "released under the terms of the", "covered by the", "subject to the", "available under the"]
 UNKNOWN_NAMES = ["Acme", "Example", "Vendor", "Community", "Evaluation", "Research", "Academic", "Internal", "Partner", "House", "Sample", "Project"]
@@ -154,6 +180,13 @@ UNKNOWN_ENDS = ["License", "Licence", "License Agreement", "License version 1",
 TERMS = re.compile(r"(?i)licen[sc]|copyright|copyleft|rights reserved|permission|redistribut|public domain|warrant")
 _WORD = re.compile(r"[a-z0-9]+|[^\x00-\x7f]+")
 _ENDS = re.compile(rb"\n|(?<=[.!?])[ \t]+")
+#: Where a sentence that runs on over lines ends: at a stop, or where a line holds neither letter nor digit.
+_SENTENCE = re.compile(rb"(?<=[.!?])(?<!\W[A-Za-z]\.)[\"')]*\s+|\n(?=[^\w\x80-\xff\n]*(?:\n|\Z))")
+#: One of these is in every text that is read by sentences, too, lower-cased.
+_HINTS = (b"licen", b"copyright", b"permi", b"redistribut", b"warrant", b"free software", b"public", b"rights reserved", b"gpl", b"notice", b"liab")
+_NOTICE = re.compile(r"(?i)licen[sc]|spdx|\bunder\b|\bterms\b|free software|copyright")
+#: Names that mean other things, too, and say nothing unless a licence is spoken of.
+PLAIN = {"Apache", "MIT", "BSD", "ISC", "Zlib", "EPL", "MPL"}
 BUCKETS_LOG2 = 15
 FOLDS = 3
 
@@ -190,9 +223,43 @@ def features(text: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def paragraphs(text: bytes) -> np.ndarray:
+def paragraphs(text: bytes, ends: re.Pattern[bytes] = _ENDS) -> np.ndarray:
     """Byte offsets at which paragraphs start."""
-    return np.array([0, *(m.end() for m in _ENDS.finditer(text))], np.int64)
+    return np.array([0, *(m.end() for m in ends.finditer(text))], np.int64)
+
+
+def sentences(text: bytes) -> np.ndarray | None:
+    """Byte offsets at which sentences start, however their lines are wrapped; None where lines say it all."""
+    low = text.lower()
+    return paragraphs(text, _SENTENCE) if b"\n" in text and any(h in low for h in _HINTS) else None
+
+
+def _spelt(name: str) -> str:
+    return r"[\s/-]+".join(map(re.escape, re.split(r"[\s/-]+", name)))
+
+
+@functools.lru_cache(maxsize=1)
+def _patterns() -> list[tuple[str, bool, re.Pattern[str]]]:
+    """(family, whether the name is a plain one, name as whole words): short names as written, the others in any case."""
+    return [(f, n in PLAIN, re.compile(rf"(?<![A-Za-z0-9]){_spelt(n)}(?![A-Za-z0-9])", re.I if len(n) > 6 else 0)) for f, ns in NAMES.items() for n in ns]
+
+
+def named(text: str) -> set[str]:
+    """Families that a notice calls by name; of names that overlap the first, of those at one place the longest counts."""
+    if not _NOTICE.search(text):
+        return set()
+    flat = re.sub(r"\n[^\w\n]*", " ", text)
+    spoken = re.search(r"(?i)licen[sc]|spdx", flat)
+    best: dict[int, tuple[int, str]] = {}
+    for f, plain, pattern in _patterns():
+        for m in pattern.finditer(flat) if spoken or not plain else ():
+            best[m.start()] = max(best.get(m.start(), (0, "")), (m.end(), f))
+    found, last = set(), -1
+    for at, (end, f) in sorted(best.items(), key=lambda x: (x[0], -x[1][0])):
+        if end > last:
+            found.add(f)
+            last = end
+    return found
 
 
 def trigrams(text: str) -> set[tuple[str, ...]]:
@@ -213,7 +280,7 @@ class Model:
     confirm: float = 0.5
     prior: float = 0.9
 
-    def probabilities(self, text: bytes, cuts: np.ndarray) -> np.ndarray:
+    def probabilities(self, text: bytes, cuts: np.ndarray, prior: float | None = None) -> np.ndarray:
         bucket, part = features(text, cuts)
         order = np.argsort(part, kind="stable")
         bucket, part = bucket[order], part[order]
@@ -222,20 +289,30 @@ class Model:
             at = np.flatnonzero(np.diff(part, prepend=-1))
             n = np.diff(np.append(at, len(part))).astype(np.float32)[:, None]
             z[part[at]] = np.add.reduceat(self.weights[bucket], at, axis=0) / np.sqrt(n) / self.temperature
-        z[:, self.classes.index("none")] += np.log(self.prior / (1 - self.prior) * (len(self.classes) - 1))
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        return p / p.sum(1, keepdims=True)
+        prior = self.prior if prior is None else prior
+        z[:, self.classes.index("none")] += np.log(prior / (1 - prior) * (len(self.classes) - 1))
+        return _soft(z)
 
-    def confirmed(self, family: str, text: str) -> bool:
-        """Whether enough trigrams of one template, or of the paragraph, are shared, and none of another family's shares more."""
+    def families(self, text: str) -> tuple[set[str], bool, bool]:
+        """Families that the templates confirm: those with a template that shares enough trigrams with the paragraph, none sharing more; else one called by name.
+
+        And whether that is much, more than three trigrams or a name, and whether it is most of the template, or a name.
+        """
         own = trigrams(text)
-        if not own or family not in TEMPLATES:
-            return False
-        best: dict[str, float] = {}
+        if not own:
+            return set(), False, False
+        best: dict[str, tuple[float, int, float]] = {}
         for name, t in _template_trigrams():
-            best[name] = max(best.get(name, 0.0), len(own & t) / min(len(own), len(t)) + len(own & t) / 1000)
-        return best[family] >= self.confirm and best[family] >= max(best.values())
+            shared = len(own & t)
+            best[name] = max(best.get(name, (0.0, 0, 0.0)), (shared / min(len(own), len(t)) + shared / 1000, shared, shared / len(t)))
+        top = max(best.values())
+        if top[0] >= self.confirm:
+            return {f for f, x in best.items() if x[0] == top[0]}, top[1] > 3, top[2] >= 0.6
+        called = named(text)
+        return (called, True, True) if len(called) == 1 else (set(), False, False)
+
+    def confirmed(self, family: str, text: str) -> bool:
+        return family in self.families(text)[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -243,10 +320,10 @@ def _template_trigrams() -> list[tuple[str, set[tuple[str, ...]]]]:
     return [(family, trigrams(x)) for family, texts in TEMPLATES.items() for x in texts]
 
 
-def training_rows(background: list[str], seed: int = 1, copies: int = 8) -> list[tuple[str, str, int]]:
-    """(class, paragraph, fold): templates with words dropped, cut, or set among background words, and others.
+def training_rows(background: list[str], seed: int = 1, copies: int = 12) -> list[tuple[str, str, int]]:
+    """(class, paragraph, fold): templates with words dropped, cut to fragments, or set among background words; names in notices; and others.
 
-    All copies of a template, and all unknown sentences of a name, are of one fold.
+    All copies of a template, all notices of a kind and all unknown sentences of a name are of one fold.
     """
     rnd = random.Random(seed)
     loose = [w for p in background[:500] for w in p.split()] or ["the"]
@@ -254,11 +331,19 @@ def training_rows(background: list[str], seed: int = 1, copies: int = 8) -> list
     for family, texts in TEMPLATES.items():
         for k in range(copies * len(texts)):
             w = texts[k % len(texts)].split()
-            if k // len(texts) % 3 == 1:
+            turn = k // len(texts) % 6
+            if turn == 1:
                 w = [x for x in w if rnd.random() > 0.08] or w
-            if k // len(texts) % 3 == 2:
+            if turn == 2:
                 w = rnd.choices(loose, k=rnd.randint(1, 4)) + w + rnd.choices(loose, k=rnd.randint(0, 4))
+            if turn > 2 and len(w) > 8:
+                # A wrapped line of it.
+                n = rnd.randint(7, min(13, len(w)))
+                at = rnd.randint(0, len(w) - n)
+                w = w[at : at + n]
             out.append((family, " ".join(w), k % len(texts) % FOLDS))
+        for k, notice in enumerate(NOTICES):
+            out += [(family, notice.format(n), k % FOLDS) for n in NAMES.get(family, []) if n not in PLAIN or re.search("(?i)licen", notice)]
     for k in range(copies * 24):
         name = UNKNOWN_NAMES[k % len(UNKNOWN_NAMES)]
         w = f"{rnd.choice(UNKNOWN_VERBS)} {name} {rnd.choice(UNKNOWN_ENDS)}".split()
@@ -360,37 +445,69 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backgro
     return train([x["p"] for r in rows for x in r.parts])
 
 
+def _judged(m: Model, text: bytes, cuts: np.ndarray, least: float) -> list[tuple[int, int, str, float, bool, bool]]:
+    """(start, end in bytes, family, probability, confirmed, confirmed by most of a template) of the paragraphs that speak of licences."""
+    none, out = m.classes.index("none"), []
+    even = m.probabilities(text, cuts, 0.5)
+    for i in np.flatnonzero(1 - even[:, none] >= least):
+        s, e = int(cuts[i]), int(cuts[i + 1]) if i + 1 < len(cuts) else len(text)
+        s += len(text[s:e]) - len(text[s:e].lstrip())
+        raw = text[s:e].rstrip()
+        part = raw.decode()
+        families, much, most = m.families(part)
+        # The prior says how rare licences are among all paragraphs; among those that repeat the words of a template others are.
+        p = even[i].copy()
+        p[none] *= (1 - m.prior) / m.prior if much else m.prior / (1 - m.prior)
+        p /= p.sum()
+        among = [m.classes.index(f) for f in sorted(families)]
+        # Words that several families share are theirs together; the likeliest of them is named.
+        sure = bool(among) and float(p[among].sum()) >= least
+        if sure or 1 - p[none] >= least and TERMS.search(part):
+            family = m.classes[max(among, key=lambda k: p[k])] if sure else "unknown"
+            out.append((s, s + len(raw), family, float(p[among].sum() if sure else 1 - p[none]), sure, sure and most))
+    return out
+
+
+def find(m: Model, text: bytes, least: float = 0.5) -> list[dict]:
+    """Findings of both readings of a text as rows; offsets are code points."""
+    lines = _judged(m, text, paragraphs(text), least)
+    cuts = sentences(text)
+    if cuts is not None:
+        for x in _judged(m, text, cuts, least):
+            own = [y for y in lines if y[0] < x[1] and x[0] < y[1]]
+            if b"\n" not in text[x[0] : x[1]] or any(y[4] for y in own) and not x[4]:
+                continue
+            # Two whole licences on lines of their own are not one sentence, and a line that says as much alone needs no neighbours.
+            if len({y[2] for y in own if y[5]}) > 1 or len(own) == 1 and own[0][5] and own[0][3] >= x[3]:
+                continue
+            lines = [y for y in lines if y not in own] + [x]
+    found = []
+    for s, e, family, p, sure, _ in sorted(lines):
+        start = len(text[:s].decode())
+        found.append({"family": family, "start": start, "end": start + len(text[s:e].decode()), "probability": round(p, 6), "confirmed": sure})
+    return found
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per document: its id and ``found``, an array of (family, start, end, probability, confirmed).
 
-    Offsets are code points of the paragraph.  A family counts if its probability reaches ``least`` and a
-    template confirms it; if none does, or the confirmation fails, but licence classes together reach
-    ``least`` and the paragraph has one of ``TERMS``, it is reported as "unknown".  A null or empty text has none.  Ids of any type pass
-    through, null or repeated; an empty table gives an empty result; other columns are not returned.
+    Offsets are code points of the line or, where one that runs over several lines says more, of the sentence; spans of
+    one reading do not overlap, and a sentence takes the place of what its lines gave.  A family counts if its
+    probability reaches ``least`` and a template or a name confirms it; if none does, or the confirmation fails, but
+    licence classes together reach ``least`` and the paragraph has one of ``TERMS``, it is reported as "unknown".  A null
+    or empty text has none.  Ids of any type pass through, null or repeated; an empty table gives an empty result; other
+    columns are not returned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     shape = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        none = m.classes.index("none")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part_of, out = batch.slice(k, 256), []
                 for text in part_of.column(1).to_pylist():
-                    found = []
-                    cuts = paragraphs(text)
-                    p = m.probabilities(text, cuts)
-                    for i in np.flatnonzero(1 - p[:, none] >= least):
-                        s, e = int(cuts[i]), int(cuts[i + 1]) if i + 1 < len(cuts) else len(text)
-                        part = text[s:e].decode().rstrip()
-                        best = int(np.argmax(np.where(np.arange(len(m.classes)) == none, -1, p[i])))
-                        family = m.classes[best]
-                        sure = p[i, best] >= least and m.confirmed(family, part)
-                        if not sure and not TERMS.search(part):
-                            continue
-                        start = len(text[:s].decode())
-                        found.append({"family": family if sure else "unknown", "start": start, "end": start + len(part), "probability": round(float(p[i, best] if sure else 1 - p[i, none]), 6), "confirmed": bool(sure)})
+                    found = find(m, text, least)
                     out.append(found)
                 yield pa.RecordBatch.from_arrays([part_of.column(0), pa.array(out, shape)], names=["doc", "found"])
 
