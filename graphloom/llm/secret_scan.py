@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and strings that zstandard primed with a dictionary finds novel.
 
-A candidate is a long run of key characters whose line names something sensitive shortly before it, that follows such
-a run after a dot, or that lies in a block from a sensitive BEGIN line to its END line.  Its novelty is the number of
-bytes it adds to the compressed context around it, the compressor being primed with common identifiers and code; a
-string that costs nearly as many bytes as it is long, or as random characters of its alphabet must, is no word, name
-or repeat, and is reported.  The scan is one pass over each text, without a shuffle.
+A candidate is a long run of key characters, or a shorter one with signs among them, on a line that names something
+sensitive before it, that follows such a run after a dot, or that lies in a block from a sensitive BEGIN line to its END
+line.  Its novelty is the number of bytes it adds to the compressed context around it, the compressor being primed with
+common identifiers and code; a string that costs nearly as many bytes as it is long, or as random characters of its
+alphabet must, is no repeat.  It is reported if most of it cannot be read as words, numbers and dates either, and it is
+neither a UUID nor a checksum that its line calls one.  The scan is one pass over each text, without a shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -29,7 +31,22 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: One of these is in every text that _ASSIGN matches, lower-cased.
 _NAMES = ("passw", "secret", "token", "api")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_SENSITIVE = re.compile(r"(?i)(auth|bearer|credential|passphrase|passwd|password|private|secret|signature|token|api[_-]?key|\bkey\b|\bpwd\b)[^\n]{0,40}$", re.A)
+#: Something sensitive, and how far behind it on the same line a candidate may stand.
+_SENSITIVE = re.compile(r"(?i)(auth|bearer|credential|passphrase|passwd|password|private|secret|signature|token|api[_-]?key|\bkey\b|\bpwd\b)", re.A)
+REACH = 1024
+#: A passphrase: signs among letters and digits, no brackets or quotes.
+_SIGNED = re.compile(r"[A-Za-z0-9!@#$%^&*~?+_.=/:-]{12,}")
+_SIGN = re.compile(r"[!@#$%^&*~?]")
+#: No secrets: UUIDs, and checksums that name their kind.
+_OTHER = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|(?:md5|sha-?[0-9]{1,3})[-_=/+].*", re.I)
+#: What a line calls a checksum or revision, right before it.
+_CHECKSUM = re.compile(r"(?i)(?:md5|sha-?\d{1,3}|checksum|digest|integrity|etag|commit|revision|fingerprint)[\"'\x20:=-]{0,4}$")
+#: Pairs of letters that words are made of, in English and its neighbours.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ue ci ke ey ok ut us ro io ic ne ma pa ss co me ri ll om ce li ch be ta "
+    "el la ec id ca ac na un im fi ge pr no ct tr di il ns rs ow ol po do ie wi wh em lo ad so ho ag am ir su up ap ex ab ai bl pl ul mo fo pe vi ev ty ay ig gh ts ee oo ot av mp ep op sc sh cl au "
+    "nn tt rt rd ck ry ly os da za ba ga va bo go wa we wo if ff ls ks ds ms ry ff ph qu ef ib ob ub od ud um ru lu mu nu du bu hu fu cu gr cr br dr fr fl gl sp sk sm sl sw".split()
+)
 #: A block that names something sensitive; without an END line it goes on while lines hold nothing but key characters.
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----")
 _BODY = re.compile(r"(?:[\x20\t>|\"']*+(?:[A-Za-z][A-Za-z-]*:[^\n]*|[A-Za-z0-9+/_=-]*)[\x20\t\"',;\\]*\r?(?:\n|\Z))+")
@@ -70,16 +87,44 @@ def alphabet(word: str) -> int:
     return size + len(set(re.findall("[^0-9A-Za-z]", word)))
 
 
+def _word_like(part: str, least: int, share: float) -> bool:
+    """Letters whose pairs are mostly those of words."""
+    low = part.lower()
+    pairs = [low[i : i + 2] in PAIRS for i in range(len(low) - 1)]
+    return len(part) >= least and sum(pairs) >= share * len(pairs)
+
+
+def unexplained(word: str) -> float:
+    """Share of a string's letters and digits that are no words, short names, numbers or dates.
+
+    Parts between signs are read as a whole, those with capitals inside by their humps.
+    """
+    total = left = 0
+    for part in re.findall("[0-9A-Za-z]+", word):
+        total += len(part)
+        if part.isdigit() or re.fullmatch("[0-9]{1,8}[TZtz]?[0-9]{0,6}[Zz]?|[a-z]{1,3}|[A-Z]{1,3}|[vVx][0-9]{1,3}", part):
+            continue
+        for piece in re.findall("[0-9]+|[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part):
+            whole = piece == part
+            if piece.isdigit():
+                # Numbers count where a word stands before them only.
+                left += 0 if re.fullmatch("[A-Za-z]{3,}[0-9]+", part) and len(piece) <= 6 else len(piece)
+            elif not (_word_like(piece, 4, 0.5) if whole else _word_like(piece, 3, 0.75 if len(piece) < 5 else 0.6)):
+                left += len(piece)
+    return left / total if total else 0.0
+
+
 def is_novel(word: str, score: float, threshold: float, inside: bool = False) -> bool:
     """Whether ``score`` bytes a byte are those of a random word.
 
     Literals of a long word, or of one among its like, are coded at close to its alphabet's entropy, however random it
     is, and those of a short one by its neighbours' letters.  So a word is also novel if it costs that entropy, less a
-    tenth; names can cost as much, so it must hold half the digits of a random word as well, but ``inside`` a block.
+    tenth.  Names can cost as much, so half of it must be unexplained, and of one without digits more.
     """
     size = alphabet(word)
-    digits = inside or 2 * size * len(re.findall("[0-9]", word)) >= 10 * len(word)
-    return score >= threshold or digits and score * 8 >= 0.9 * math.log2(size)
+    if not (score >= threshold or score * 8 >= 0.9 * math.log2(size)):
+        return False
+    return inside or unexplained(word) >= (0.5 if re.search("[0-9]", word) else 0.6)
 
 
 def sensitive_blocks(text: str) -> list[tuple[int, int]]:
@@ -120,26 +165,41 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float,
     out, k, b, linked = [], 0, 0, -1
     ends = sorted((s, e) for s, _, e in taken)
     blocks = sensitive_blocks(text)
-    for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
+    marks = [m.end() for m in _SENSITIVE.finditer(text)]
+    long = [m.span() for m in _CANDIDATE.finditer(text)]
+    for s, e, signed in _merged(long, [m.span() for m in _SIGNED.finditer(text) if _SIGN.search(m[0])]):
         while b < len(blocks) and blocks[b][1] <= s:
             b += 1
         inside = b < len(blocks) and blocks[b][0] <= s
-        near = inside or linked == s - 1 and text[linked] == "." or bool(_SENSITIVE.search(text[max(0, s - 60) : s]))
+        at = bisect.bisect_right(marks, s) - 1
+        near = inside or linked == s - 1 and text[linked] == "." or at >= 0 and s - marks[at] <= REACH and "\n" not in text[marks[at] : s]
         if near:
             linked = e
         while k < len(ends) and ends[k][1] <= s:
             k += 1
         if any(x < e and s < y for x, y in ends[k : k + 4]):
             continue
-        word = m[0]
-        if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)) or not near:
+        word = text[s:e]
+        if not near or not re.search("[A-Za-z]", word) or _OTHER.fullmatch(word) or not inside and _CHECKSUM.search(text[max(0, s - 24) : s]):
+            continue
+        if signed and sum(bool(re.search(c, word)) for c in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
             continue
         if is_novel(word, novelty(word, text[max(0, s - window) : s], text[e : e + window], dictionary), threshold, inside):
             out.append((s, 3, e))
     return out
 
 
+def _merged(long: list[tuple[int, int]], signed: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """Runs of key characters, and signed ones that touch none of them, in order; stops at a signed one's end are not its own."""
+    out, k = [(s, e, False) for s, e in long], 0
+    for s, e in signed:
+        while k < len(long) and long[k][1] <= s:
+            k += 1
+        if k == len(long) or long[k][0] >= e:
+            out.append((s, e, True))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85, window: int = 256, dictionary: str = IDENTIFIERS) -> DataFrame:
     """One row per document: its id and ``found``, an array of (kind, start, end) in code points.
 
