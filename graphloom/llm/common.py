@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+import threading
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +62,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return storage.stored(df, name)
+        out = storage.stored(df, name)
     finally:
         spark.conf.set(CLEANUP, before)
+    for tables in _kept():
+        tables.append(out)
+    return out
+
+
+_local = threading.local()
+
+
+def _kept() -> list[list[DataFrame]]:
+    """Lists of what this thread stores, one for each ``settled`` that is running."""
+    if not hasattr(_local, "kept"):
+        _local.kept = []
+    return _local.kept
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns, and delete every table that was stored on the way to it."""
+    _kept().append([])
+    try:
+        out = storage.stored(make(), name)
+    finally:
+        tables = _kept().pop()
+        if tables:
+            discard(*tables)
+    for outer in _kept():
+        outer.append(out)
+    return out
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:

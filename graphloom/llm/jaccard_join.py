@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, keyed, numbered_ids, read, stored
+from graphloom.llm.common import discard, keyed, numbered_ids, read, settled, stored
 
 WORDS, SHARE = 5, 75
 #: Frequent shingles are those in more than FREQUENT documents; at most LISTED of them. All are counted where the hash is
@@ -385,7 +385,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def first_keys(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key) of the first row of each component among ``keyed`` rows: the smallest id, rows without one last, then the smallest key."""
+    """(key) of the first row of each component among ``keyed`` rows: the smallest id, rows without one last, then the smallest key.
+
+    Stored; what the join stored on the way is deleted.
+    """
+    return settled(lambda: _first_keys(rows, id_col, text_col), "first-keys")
+
+
+def _first_keys(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = jaccard_components(rows.select("key", F.col("row")[text_col].alias("text")), "key", "text")
     ids = rows.select("key", F.col("row")[id_col].alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
