@@ -33,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_kept_pct:
     lines, rows that repeat an id are alike; null and empty texts are one empty line.
     """
     rows = keyed(docs, "line-rows")
-    first = stored(jaccard_join.first_keys(rows).withColumn("first", F.lit(True)), "line-firsts")
+    first = jaccard_join.first_keys(rows).withColumn("first", F.lit(True))
     sized = rows.select("key", "row.*").withColumn("n_words", F.size(words(F.coalesce(F.col("text"), F.lit("")))))
     lines = line_dedup.dedup_lines(sized, carry=("key", "lang", "source", "n_words"))
     left = F.when(F.col("n_dropped") == 0, F.col("n_words")).otherwise(F.size(words(F.col("kept_text"))))
