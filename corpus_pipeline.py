@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard_join, line_dedup, mixing, quality_rules, sentencepiece_wfst
-from graphloom.llm.common import keyed, read, stored, words
+from graphloom.llm.common import by_key, read, stored, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,12 +32,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_kept_pct:
     theirs, however little, or nothing.  Rows stay one for one with their own columns; a row without an id keeps its
     lines, rows that repeat an id are alike; null and empty texts are one empty line.
     """
-    rows = keyed(docs, "line-rows")
-    first = jaccard_join.first_keys(rows).withColumn("first", F.lit(True))
+    rows = by_key(docs, "line-rows")
     sized = rows.select("key", "row.*").withColumn("n_words", F.size(words(F.coalesce(F.col("text"), F.lit("")))))
-    lines = line_dedup.dedup_lines(sized, carry=("key", "lang", "source", "n_words"))
-    left = F.when(F.col("n_dropped") == 0, F.col("n_words")).otherwise(F.size(words(F.col("kept_text"))))
-    lines = lines.join(first, "key", "left").filter(F.col("first") | (100 * left >= min_kept_pct * F.col("n_words")))
+    lines = line_dedup.dedup_lines(sized, carry=("lang", "source", "n_words"), key_col="key", marks=jaccard_join.first_keys(rows))
+    whole = 100 * F.size(words(F.col("kept_text"))) >= min_kept_pct * F.col("n_words")
+    lines = lines.filter((F.col("n_dropped") == 0) | F.coalesce("marked", F.lit(False)) | whole)
     return _documents(lines.withColumnRenamed("kept_text", "text"))
 
 

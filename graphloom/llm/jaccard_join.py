@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, keyed, numbered_ids, read, settled, stored
+from graphloom.llm.common import by_key, discard, numbered_ids, read, settled, stored
 
 WORDS, SHARE = 5, 75
 #: Frequent shingles are those in more than FREQUENT documents; at most LISTED of them. All are counted where the hash is
@@ -351,10 +351,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     usable = about.filter("doc is not null and same is not null")
     classes = usable.groupBy("same").agg(F.min("doc").alias("doc"), F.first("n").cast("int").alias("n"), F.first("least").alias("least"), F.min_by("bytes", "doc").alias("bytes"))
     classes = stored(classes, "shingle-classes")
+    # Prefixes move once: those of the classes are stored, and the table of all goes but for its short columns.
+    sets = stored(usable.join(classes.select("same", "doc"), ["same", "doc"]).select("doc", F.col("n").cast("int").alias("n"), "prefix"), "class-sets")
+    about, before = stored(about.select("doc", "n", "same"), "shingle-sizes"), about
+    discard(before)
     # 2. tokens that two documents have
-    cells = usable.join(classes.select("same", "doc"), ["same", "doc"]).select(F.explode("prefix").alias("token"), "doc", F.col("n").cast("int").alias("n"))
+    cells = sets.select(F.explode("prefix").alias("token"), "doc", "n")
     common = cells.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("token")
-    cells = stored(cells.join(stored(common, "shared-tokens"), "token"), "shared-cells")
+    common = stored(common, "shared-tokens")
+    cells = stored(cells.join(common, "token"), "shared-cells")
+    discard(sets, common)
     # 3. pivots, then pivots among themselves
     # Stored, so that the join on a hot leading shingle has no aggregate in its tasks and can be split.
     pivots = stored(classes.groupBy("least").agg(F.min("doc").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "leading-pivots")
@@ -405,7 +411,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Every row is a vertex of its own.  A row without an id stays only where no row of its component has one; of rows
     that share the smallest id, or have none, the first in the table stays.
     """
-    rows = keyed(docs, "join-rows")
+    rows = by_key(docs, "join-rows", id_col)
     return rows.join(first_keys(rows, id_col, text_col), "key", "left_semi").select("row.*")
 
 

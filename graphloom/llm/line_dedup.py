@@ -21,7 +21,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = (), key_col: str | None = None, marks: DataFrame | None = None) -> DataFrame:
     """Add ``n_lines``, ``n_dropped`` and ``kept_text`` to (id, text) of every document.
 
     A line whose key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more stays
@@ -29,14 +29,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line.  A document without an id is counted but returned unchanged, since no id says who comes first.  Rows
     that repeat an id count as further documents and are treated alike.  An empty table gives an empty result;
     of the other columns those in ``carry`` are returned, each row with its own.
+
+    With ``key_col``, a number that is unique to the row, drops meet their rows by it.  ``marks`` then holds some of these
+    numbers in a column ``key``, and ``marked`` is true for rows with dropped lines that it holds, else null: it is joined
+    to the drops, so texts move once.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []))
-    split = base.select("_id", F.md5("_t").alias("_d"), F.split("_t", "\n").alias("_lines"), *(["_row"] if carry else []))
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.col(key_col).alias("_row_key")] if key_col else []), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []))
+    row_key = ["_row_key"] if key_col else ["_id", "_d"]
+    split = base.select("_id", F.col("_row_key") if key_col else F.md5("_t").alias("_d"), F.split("_t", "\n").alias("_lines"), *(["_row"] if carry else []))
     keyed = (
-        split.select("_id", "_d", F.posexplode("_lines").alias("_pos", "_line"))
-        .select("_id", "_d", "_pos", line_key(F.col("_line")).alias("_key"))
+        split.select("_id", row_key[-1], F.posexplode("_lines").alias("_pos", "_line"))
+        .select("_id", row_key[-1], "_pos", line_key(F.col("_line")).alias("_key"))
         .filter(F.length("_key") >= min_chars)
-        .select("_id", "_d", "_pos", F.unhex(F.md5("_key")).alias("_h"))
+        .select("_id", row_key[-1], "_pos", F.unhex(F.md5("_key")).alias("_h"))
     )
     once = split.select(
         "_id",
@@ -53,18 +58,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = (
         keyed.join(common, "_h")
         .filter(F.col("_id") != F.col("_first"))
-        .groupBy("_id", "_d")
+        .groupBy(*row_key)
         .agg(F.collect_set("_pos").alias("_drop"))
     )
-    joined = split.join(drops, ["_id", "_d"], "left")
+    if marks is not None:
+        drops = drops.join(marks.select(F.col("key").alias("_row_key"), F.lit(True).alias("_marked")), "_row_key", "left")
+    marked = ["_marked"] if marks is not None else []
+    joined = split.join(drops, row_key, "left")
     at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.transform(at, lambda p: F.get("_lines", p)))
-    kept = joined.select("_id", F.size("_lines").alias("_n"), kept.alias("_kept"), *(["_row"] if carry else []))
+    kept = joined.select("_id", F.size("_lines").alias("_n"), kept.alias("_kept"), *marked, *(["_row"] if carry else []))
     return kept.select(
         F.col("_id").alias(id_col),
         F.col("_n").cast("long").alias("n_lines"),
         (F.col("_n") - F.size("_kept")).cast("long").alias("n_dropped"),
         F.array_join("_kept", "\n").alias("kept_text"),
+        *[F.col(c).alias("marked") for c in marked],
         *[F.col("_row")[c].alias(c) for c in carry],
     )
 

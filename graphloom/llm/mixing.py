@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import discard, keyed, read, stored, words
+from graphloom.llm.common import by_key, discard, read, stored, words
 
 #: Rates are multiples of one millionth.
 UNIT = 1_000_000
@@ -154,7 +154,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A cut copy keeps the first words with the white space between them.  Each row meets its own
     rate, also where it has no id or repeats one.
     """
-    rows = keyed(docs, "mixing-rows")
+    rows = by_key(docs, "mixing-rows", id_col)
     source_col = options.pop("source_col", "source")
     flat = rows.select("key", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"), F.col("row")[source_col].alias("source"))
     plan = mix(flat, "id", "text", "source", key_col="key", **options).filter("copies > 0")

@@ -597,6 +597,33 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.encoding_stage(spark, mixed, "").count() == mixed.count()
 
 
+def test_pipeline_stages_leave_no_texts_behind(spark, tmp_path):
+    """Where ids are unique, no stage leaves a copy of the texts in the shared folder; what it gives is the same as with copies."""
+    from pathlib import Path
+
+    texts = [f"{words(300, k, 10**9)}\na line that all of these hold" for k in range(60)]
+    texts += [near(t, 1) for t in texts[:10]] + ["a line that all of these hold\na few words"]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        before = set(shared.iterdir())
+        got = sorted(map(tuple, stage(spark, d, "").collect()))
+        left = [f for x in set(shared.iterdir()) - before for f in x.rglob("*.parquet")]
+        assert sum(f.stat().st_size for f in left) < sum(map(len, texts)) / 5, stage.__name__
+        # the same rows with ids as strings are stored with numbers of their own
+        copied = stage(spark, d.withColumn("doc_id", F.format_string("%04d", "doc_id")), "").collect()
+        if stage is not corpus_pipeline.mixing_stage:
+            assert sorted((int(r[0]), *tuple(r)[1:]) for r in copied) == got
+
+
+def test_line_dedup_by_keys(spark):
+    texts = ["one line that both hold\nx", "one line that both hold", "y", "one line that both hold\nz"]
+    d = spark.createDataFrame([(i, t, 10 - i) for i, t in enumerate(texts)], "doc_id long, text string, k long")
+    got = line_dedup.dedup_lines(d, key_col="k", marks=spark.createDataFrame([(10,), (9,), (8,)], "key long"))
+    assert sorted((r.doc_id, r.n_dropped, r.kept_text, r.marked) for r in got.collect()) == [(0, 0, texts[0], None), (1, 1, "", True), (2, 0, "y", None), (3, 1, "z", None)]
+
+
 def test_copies_do_not_reach_the_mix(spark):
     """Line dedup must not hide copies from the join: documents that it guts go."""
     body = [[words(14, 50 * k + j) + "." for j in range(8)] for k in range(12)]
