@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vectors
 from graphloom.operators import augment, evaluate, features, hops, order, sample, stats, views
+from graphloom.sources import storage
+from graphloom.testkg import KG
 
 TRIPLES = "head string, relation string, tail string"
 
@@ -193,3 +195,44 @@ def test_weighted_sample_in_ranges_equals_windows(spark):
     one, two = (pairs(sample.sample_types(types, triples, ratios, limits=x)) for x in ((1,), (64, 4096)))
     assert one == two and len(one) > 100 and one <= pairs(types)
     assert {e for e, _ in one} <= {r[0] for r in views.universe(triples).collect()}
+
+
+def shuffled(df):
+    """The columns that the shuffles of a plan carry."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line], plan
+
+
+@pytest.mark.parametrize("turns, size", [(1, 100), (3, 4)])
+def test_coherence_of_shares_shuffles_no_vectors(spark, turns, size):
+    r = np.random.default_rng(5)
+    table = spark.createDataFrame([(k, r.integers(-2, 3, 3).astype(float).tolist()) for k in range(11)], "vec_id long, embedding array<double>")
+    rows = [(f"e{min(k % 9, k % 4)}", f"r{k}", f"sentence {k % 23}") for k in range(70)]
+    facts = spark.createDataFrame(rows, "entity string, relation string, sentence string")
+    coded = storage.stored(vectors.row_number(facts, 11).withColumn("n_chars", F.length("sentence")).drop("sentence"), "coded")
+    attach = lambda df: vectors.lookup(df, table, 11)
+    want = {x.entity: x for x in features.measured(attach(facts), size=3).collect()}
+    seen = []
+
+    def run(df, dealt):
+        out = features.measured(attach(df), size=3)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        seen.append((dealt, shuffled(out)[1].count("Exchange hashpartitioning")))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return out
+
+    got = {x.entity: x for x in order.each_entity(coded, run, "measured", size, turns).collect()}
+    assert got.keys() == want.keys() and all(abs(got[e].sim_mu - want[e].sim_mu) < 1e-12 and got[e][2:] == want[e][2:] for e in got)
+    # Dealing is the only shuffle of dealt rows, and it comes before the vectors.
+    assert [d for d, _ in seen] == [True] * turns + [False] * (size == 4) and {n for d, n in seen if d} == {1}
+    for fraction, k in ((0.3, None), (None, 2)):
+        least = lambda df, dealt: features.least_coherent(attach(df), ["relation"], fraction, k, size=3, dealt=dealt).select("entity", "relation")  # noqa: E731, B023
+        assert pairs(order.each_entity(coded, least, "least", size, turns)) == pairs(least(facts, False))
+
+
+def test_dictionaries_are_joined_without_a_shuffle_of_the_edges(spark):
+    kg = KG(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = shuffled(views.describe(views.edge_view(kg.triples), kg.relation_text, kg.entity_desc))[1]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange hashpartitioning(relation" not in plan
