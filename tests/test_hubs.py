@@ -55,6 +55,16 @@ def test_two_hops_in_tiles_are_exact(spark, tile):
     assert pairs(hops.two_hop_facts(triples, ["bad"], some, tile=tile)) == {x for x in facts if x[0] in ("hub", "n3")}
 
 
+def test_composed_names_make_no_pairs(spark, star):
+    rows, triples = graph(spark)
+    want = {(r,) for _, r, _, _ in two_hops(rows)[1]}
+    assert pairs(hops.composed_names(triples, ["bad"])) == want
+    some = spark.createDataFrame([("n3",)], "entity string")
+    assert pairs(hops.composed_names(triples, ["bad"], some)) == {(r,) for e, r, _, _ in two_hops(rows)[1] if e == "n3"}
+    # 10 ** 10 pairs.
+    assert pairs(hops.composed_names(star, ["bad"])) == {("r.r",)}
+
+
 @pytest.fixture(scope="module")
 def star(spark):
     """A hub of 100,000 neighbours."""
